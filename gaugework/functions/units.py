@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugework.functions.constants import lookup
+from gaugework.functions.constants import constant, let, lookup
 from gaugework.rules import units as R
 
 
@@ -27,29 +27,31 @@ def clean_unit(unit: Column) -> Column:
 def category_of(name: Column) -> Column:
     """Category of a metric name: exact, else the first part that fits."""
     lowered = F.trim(F.lower(name))
-    parts = F.lit(None).cast("string")
-    for part, category in reversed(R.CATEGORY_PARTS):
-        parts = F.when(lowered.contains(part), F.lit(category)).otherwise(parts)
-    return F.coalesce(lookup(lowered, R.CATEGORY_EXACT, "string"), parts)
+    parts = constant(list(R.CATEGORY_PARTS), "array<struct<part:string,category:string>>")
+    fitting = F.filter(parts, lambda p: F.contains(lowered, p["part"]))
+    return F.coalesce(lookup(lowered, R.CATEGORY_EXACT, "string"), F.get(fitting, 0)["category"])
 
 
 def factor_of(category: Column, unit: Column) -> Column:
-    """Factor from ``unit`` to the canonical unit of ``category``; null when unknown."""
-    flat = {f"{c}|{u}": f for c, table in R.FACTORS.items() for u, f in table.items()}
-    cleaned = clean_unit(unit)
+    """Factor from ``unit`` to the canonical unit of ``category``; null when unknown.
 
-    def find(key: Column) -> Column:
-        return lookup(F.concat(category, F.lit("|"), key), flat, "double")
+    The whole unit is tried first, then the unit without a known prefix or suffix.
+    """
 
-    tries = [find(cleaned)]
-    for prefix in R.UNIT_PREFIXES:
-        tries.append(
-            F.when(cleaned.startswith(prefix), find(F.substr(cleaned, F.lit(len(prefix) + 1))))
+    def find(cleaned: Column) -> Column:
+        tries = [cleaned]
+        for prefix in R.UNIT_PREFIXES:
+            tries.append(F.when(cleaned.startswith(prefix), F.substr(cleaned, F.lit(len(prefix) + 1))))
+        for suffix in R.UNIT_SUFFIXES:
+            head = F.left(cleaned, F.length(cleaned) - F.lit(len(suffix)))
+            tries.append(F.when(cleaned.endswith(suffix), F.trim(head)))
+        table = lookup(category, R.FACTORS, "map<string,double>")
+        factors = F.transform(
+            F.filter(F.array(*tries), lambda t: t.isNotNull()), lambda t: F.try_element_at(table, t)
         )
-    for suffix in R.UNIT_SUFFIXES:
-        head = F.left(cleaned, F.length(cleaned) - F.lit(len(suffix)))
-        tries.append(F.when(cleaned.endswith(suffix), find(F.trim(head))))
-    return F.coalesce(*tries)
+        return F.get(F.filter(factors, lambda f: f.isNotNull()), 0)
+
+    return let(clean_unit(unit), find)
 
 
 def normalised(name: Column, value: Column, unit: Column, category: Column | None = None) -> Column:
@@ -59,21 +61,31 @@ def normalised(name: Column, value: Column, unit: Column, category: Column | Non
     never stops the job.
     """
     category = category_of(name) if category is None else F.coalesce(category, category_of(name))
-    unit = F.coalesce(unit, F.lit(""))
-    free = category.isin("count", "percentage")
-    factor = F.when(free, F.lit(1.0)).otherwise(factor_of(category, unit))
-    canonical = lookup(category, R.CANONICAL, "string")
-    error = (
-        F.when(category.isNull(), F.lit("unknown category"))
-        .when(canonical.isNull(), F.lit("unknown category"))
-        .when((category == "percentage") & ~value.between(0, 100), F.lit("percentage out of range"))
-        .when(factor.isNull(), F.lit("unknown unit"))
-    )
-    good = error.isNull() & value.isNotNull()
-    return F.struct(
-        category.alias("category"),
-        F.when(good, factor).alias("factor"),
-        F.when(good, value * factor).alias("value"),
-        F.when(good, canonical).alias("unit"),
-        F.when(value.isNotNull(), error).alias("error"),
-    )
+
+    def judge(row: Column) -> Column:
+        kind, number = row["category"], row["value"]
+        known = lookup(kind, R.CANONICAL, "string")
+        error = (
+            F.when(known.isNull(), F.lit("unknown category"))
+            .when((kind == "percentage") & ~number.between(0, 100), F.lit("percentage out of range"))
+            .when(row["factor"].isNull(), F.lit("unknown unit"))
+        )
+        good = error.isNull()
+        return F.when(
+            number.isNotNull(),
+            F.struct(
+                kind.alias("category"),
+                F.when(good, row["factor"]).alias("factor"),
+                F.when(good, number * row["factor"]).alias("value"),
+                F.when(good, known).alias("unit"),
+                error.alias("error"),
+            ),
+        )
+
+    def with_factor(kind: Column) -> Column:
+        factor = F.when(kind.isin("count", "percentage"), F.lit(1.0)).otherwise(
+            factor_of(kind, F.coalesce(unit, F.lit("")))
+        )
+        return F.struct(kind.alias("category"), factor.alias("factor"), value.alias("value"))
+
+    return let(let(category, with_factor), judge)

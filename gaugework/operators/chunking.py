@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugework.functions import text as T
-from gaugework.operators.groups import with_offsets
+from gaugework.operators.groups import unnest, with_offsets
 from gaugework.rules import text as R
 
 HALO = 256
@@ -75,9 +75,9 @@ def index_chunks(
         split = stage(split)
     counts = split.groupBy("doc_id", "page_number").agg(F.sum(F.size("_parts")).alias("_n"))
     offsets = with_offsets(counts, ["doc_id"], "page_number", "_n", "_offset").drop("_n")
-    pieces = split.select(
-        "doc_id", "page_number", *order, "_late", "chunk_type",
-        F.posexplode("_parts").alias("_piece", "content"),
+    pieces = unnest(
+        split, F.col("_parts"), "content",
+        "doc_id", "page_number", *order, "_late", "chunk_type", at="_piece",
     )
     in_page = W.partitionBy("doc_id", "page_number").orderBy("_late", *order, "_piece")
     placed = pieces.withColumn("_at", F.row_number().over(in_page) - 1)

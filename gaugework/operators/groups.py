@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from gaugework.session import cut_lineage
 
 
+def unnest(df: DataFrame, array: Column, name: str, *keep: Column | str, at: str | None = None) -> DataFrame:
+    """One row per array element, beside the columns in ``keep``.
+
+    The outer generator keeps the optimizer from testing the array's size first: that
+    test would be pushed down and work the whole array out a second time.
+    """
+    made = F.posexplode_outer(array).alias(at, name) if at else F.explode_outer(array).alias(name)
+    return df.select(*keep, made).filter(F.col(name).isNotNull())
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions import units as U
-from gaugework.functions.constants import constant, lookup
+from gaugework.functions.constants import constant, let, lookup
 from gaugework.operators.groups import first_per_group
 from gaugework.rules import limits as L
 from gaugework.rules.catalogue import METRICS, Metric
@@ -31,7 +31,8 @@ def plausible_normalised(kpi: Column, value: Column, unit: Column, profile: str
     """As ``plausible``, on the canonical value; an unknown unit fails."""
     names = list(L.PLAUSIBLE[profile])
     canonical = U.normalised(kpi, value, unit)["value"]
-    return ~kpi.isin(*names) | F.coalesce(plausible(kpi, canonical, profile), F.lit(False))
+    fits = let(canonical, lambda v: plausible(kpi, v, profile))
+    return ~kpi.isin(*names) | F.coalesce(fits, F.lit(False))
 
 
 def expected_unit(kpi: Column, metrics: Sequence[Metric] = METRICS) -> Column:

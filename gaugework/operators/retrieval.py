@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import text as T
 from gaugework.functions.constants import constant, words_constant
-from gaugework.operators.groups import top_per_group
+from gaugework.operators.groups import top_per_group, unnest
 from gaugework.rules import relevance as R
 from gaugework.rules.catalogue import METRICS, Metric
 
 RULE_TYPE = (
-    "array<struct<kpi:string,first:array<string>,phrases:array<struct<k:string,p:string>>,"
+    "array<struct<kpi:string,first:array<string>,phrases:array<string>,"
     "keywords:array<string>,must:array<string>,exclude:array<string>,"
     "fallback:array<string>,penalty:array<string>,hints:array<string>>>"
 )
@@ -39,9 +39,7 @@ def _rules(metrics: Sequence[Metric]) -> list[dict]:
             {
                 "kpi": m.name,
                 "first": m.first_words(),
-                "phrases": [
-                    {"k": k, "p": k.lower()} for k in m.keywords if len(k.split()) > 1
-                ],
+                "phrases": [k.lower() for k in m.keywords if len(k.split()) > 1],
                 "keywords": list(m.keywords),
                 "must": _lower(gate.must_match),
                 "exclude": _lower(gate.must_exclude),
@@ -53,6 +51,10 @@ def _rules(metrics: Sequence[Metric]) -> list[dict]:
     return out
 
 
+def _constant(rules: list[dict]) -> Column:
+    return constant([tuple(r.values()) for r in rules], RULE_TYPE)
+
+
 def _once(items) -> list[str]:
     return list(dict.fromkeys(items))
 
@@ -64,7 +66,7 @@ def chunk_features(chunks: DataFrame, rules: list[dict]) -> DataFrame:
         for r in rules
         for t in (
             *r["must"], *r["exclude"], *r["fallback"], *r["penalty"], *r["hints"],
-            *(p["p"] for p in r["phrases"]),
+            *r["phrases"],
         )
     )
     first = _once(w for r in rules for w in r["first"])
@@ -128,7 +130,7 @@ def _judge(rule: Column, strict_exclude: bool) -> Column:
         .otherwise(F.lit(0.0)),
     ) / F.col("_length")
     phrase = F.size(
-        F.filter(rule["phrases"], lambda p: F.array_contains(hits, p["p"]))
+        F.filter(rule["phrases"], lambda p: F.array_contains(hits, p))
     ) * F.lit(R.PHRASE_BONUS)
     unit = F.when(F.arrays_overlap(rule["hints"], hits), R.UNIT_BONUS).otherwise(0.0)
     numeric = F.when(F.col("_digit"), R.NUMERIC_BONUS).otherwise(0.0)
@@ -173,10 +175,10 @@ def judge_chunks(
     rules = [r for r in _rules(metrics) if r["first"]]
     features = chunk_features(chunks, rules)
     judged = F.transform(
-        F.filter(constant(rules, RULE_TYPE), _candidate), lambda r: _judge(r, strict_exclude)
+        F.filter(_constant(rules), _candidate), lambda r: _judge(r, strict_exclude)
     )
-    return features.select(
-        "doc_id", "chunk_index", "page_number", "chunk_type", F.explode(judged).alias("_j")
+    return unnest(
+        features, judged, "_j", "doc_id", "chunk_index", "page_number", "chunk_type"
     ).select("doc_id", "chunk_index", "page_number", "chunk_type", "_j.*")
 
 
@@ -204,14 +206,10 @@ def relevance(chunks: DataFrame, metrics: Sequence[Metric] = METRICS) -> DataFra
             ).otherwise(F.lit("unit_fallback: no unit+number pattern")).alias("fallback_reason"),
         )
 
-    return (
-        chunk_features(chunks, rules)
-        .select(
-            "doc_id", "chunk_index",
-            F.explode(F.transform(constant(rules, RULE_TYPE), verdict)).alias("_v"),
-        )
-        .select("doc_id", "chunk_index", "_v.*")
-    )
+    verdicts = F.transform(_constant(rules), verdict)
+    return unnest(
+        chunk_features(chunks, rules), verdicts, "_v", "doc_id", "chunk_index"
+    ).select("doc_id", "chunk_index", "_v.*")
 
 
 def _by_score() -> list[Column]:
@@ -366,10 +364,10 @@ def search(
         found = found.filter(F.col("chunk_type").isin(*chunk_types))
     rules = _rules([asked])
     judged = (
-        chunk_features(found, rules)
-        .select(
-            "doc_id", "chunk_index", "page_number",
-            F.explode(F.transform(constant(rules, RULE_TYPE), lambda r: _judge(r, False))).alias("_j"),
+        unnest(
+            chunk_features(found, rules),
+            F.transform(_constant(rules), lambda r: _judge(r, False)),
+            "_j", "doc_id", "chunk_index", "page_number",
         )
         .select("doc_id", "chunk_index", "page_number", "_j.score")
         .filter(F.col("score") > 0)
@@ -405,30 +403,24 @@ def wider(
 ) -> DataFrame:
     """Up to ``extra`` further chunks per (document, metric) by keyword or alias."""
     rules = [
-        {"kpi": m.name, "first": _once(p.lower().split()[0] for p in (*m.keywords, *m.aliases))}
+        (m.name, _once(p.lower().split()[0] for p in (*m.keywords, *m.aliases)))
         for m in metrics
         if m.keywords or m.aliases
     ]
-    words = _once(w for r in rules for w in r["first"])
+    words = _once(w for r in rules for w in r[1])
     index = F.array_join("keywords", " ")
-    offered = (
-        chunks.select(
-            "doc_id", "chunk_index", "page_number", "chunk_type",
-            F.filter(words_constant(words), lambda w: F.contains(index, w)).alias("_in"),
-        )
-        .select(
-            "doc_id", "chunk_index", "page_number", "chunk_type",
-            F.explode(
-                F.transform(
-                    F.filter(
-                        constant(rules, "array<struct<kpi:string,first:array<string>>>"),
-                        lambda r: F.arrays_overlap(r["first"], F.col("_in")),
-                    ),
-                    lambda r: r["kpi"],
-                )
-            ).alias("kpi"),
-        )
+    kpis = F.transform(
+        F.filter(
+            constant(rules, "array<struct<kpi:string,first:array<string>>>"),
+            lambda r: F.arrays_overlap(r["first"], F.col("_in")),
+        ),
+        lambda r: r["kpi"],
+    )
+    seen = chunks.select(
+        "doc_id", "chunk_index", "page_number", "chunk_type",
+        F.filter(words_constant(words), lambda w: F.contains(index, w)).alias("_in"),
     )
+    offered = unnest(seen, kpis, "kpi", "doc_id", "chunk_index", "page_number", "chunk_type")
     fresh = offered.join(found, ["doc_id", "kpi", "chunk_index"], "left_anti")
     order = [
         F.col("chunk_type").desc(), F.col("page_number").asc_nulls_last(), F.col("chunk_index")
