@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from gaugework.operators.groups import unnest, with_offsets
 from gaugework.rules import text as R
 
 HALO = 256
+NO_PAGE = -1
 
 
 def classify_blocks(blocks: DataFrame, min_chars: int = R.MIN_BLOCK_CHARS) -> DataFrame:
@@ -55,41 +54,37 @@ def split_block(kind: Column, content: Column) -> tuple[Column, Column]:
     )
 
 
-def index_chunks(
-    blocks: DataFrame, order: list[str], stage: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
+def index_chunks(blocks: DataFrame, order: list[str]) -> DataFrame:
     """Split blocks and number the pieces of each document from 0 in page order.
 
     Pieces are numbered inside their page (tables first) and shifted by the pieces
     on earlier pages, which come from counts per page.  No task ever holds a whole
-    document.  ``stage`` may write the split pieces out once, so that the count
-    does not repeat the splitting.
+    document.  The counts look at whole rows, so that they and the pieces read one
+    and the same shuffle and the splitting is done once.
     """
     kind, parts = split_block(F.col("chunk_type"), F.col("content"))
     split = blocks.select(
-        "doc_id", "page_number", *order,
+        "doc_id", F.coalesce("page_number", F.lit(NO_PAGE)).alias("_page"), *order,
         F.when(F.col("chunk_type") == "table", 0).otherwise(1).alias("_late"),
         kind.alias("chunk_type"), parts.alias("_parts"),
     )
-    if stage:
-        split = stage(split)
-    counts = split.groupBy("doc_id", "page_number").agg(F.sum(F.size("_parts")).alias("_n"))
-    offsets = with_offsets(counts, ["doc_id"], "page_number", "_n", "_offset").drop("_n")
     pieces = unnest(
         split, F.col("_parts"), "content",
-        "doc_id", "page_number", *order, "_late", "chunk_type", at="_piece",
+        "doc_id", "_page", *order, "_late", "chunk_type", at="_piece",
     )
-    in_page = W.partitionBy("doc_id", "page_number").orderBy("_late", *order, "_piece")
+    in_page = W.partitionBy("doc_id", "_page").orderBy("_late", *order, "_piece")
     placed = pieces.withColumn("_at", F.row_number().over(in_page) - 1)
-    same_page = F.expr("p.doc_id = o.doc_id AND p.page_number <=> o.page_number")
-    return (
-        placed.alias("p")
-        .join(offsets.alias("o"), same_page)
-        .select(
-            "p.doc_id",
-            (F.col("_offset") + F.col("_at")).cast("long").alias("chunk_index"),
-            "p.chunk_type", "p.page_number", "p.content",
-        )
+    whole = (F.length("chunk_type") >= 0) & F.col("content").isNotNull()
+    counts = placed.groupBy("doc_id", "_page").agg(
+        F.greatest(F.count_if(whole), F.max("_at") + 1).alias("_n")
+    )
+    offsets = with_offsets(counts, ["doc_id"], "_page", "_n", "_offset").drop("_n")
+    return placed.join(offsets, ["doc_id", "_page"]).select(
+        "doc_id",
+        (F.col("_offset") + F.col("_at")).cast("long").alias("chunk_index"),
+        "chunk_type",
+        F.nullif(F.col("_page"), F.lit(NO_PAGE)).alias("page_number"),
+        "content",
     )
 
 
@@ -161,11 +156,9 @@ def merge_labels(chunks: DataFrame, most_tokens: int | None = None) -> DataFrame
     )
 
 
-def chunk_documents(
-    blocks: DataFrame, order: list[str], stage: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
+def chunk_documents(blocks: DataFrame, order: list[str]) -> DataFrame:
     """Blocks (doc_id, page_number, chunk_type, content, order columns) to chunks."""
-    return merge_labels(with_index_terms(index_chunks(blocks, order, stage)))
+    return merge_labels(with_index_terms(index_chunks(blocks, order)))
 
 
 def parse_summary(chunks: DataFrame, page_counts: DataFrame) -> DataFrame:

@@ -1 +1,190 @@
+"""Gates, scores and ranking of chunks."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gaugework.operators import retrieval as V
+from gaugework.queries.registry import literals, query, table, text
+from gaugework.queries.text import chunk_sql, chunks, words_sql
+from gaugework.rules import relevance as R
+from gaugework.rules.catalogue import METRICS
+
+_RULES = V._rules(METRICS)
+_TERMS = list(dict.fromkeys(
+    t for r in _RULES for t in (*r["must"], *r["exclude"], *r["fallback"], *r["penalty"], *r["hints"], *r["phrases"])
+))
+_FIRST = list(dict.fromkeys(w for r in _RULES for w in r["first"]))
+
+
+def rule_table(rules, name: str = "rules") -> tuple[str, str]:
+    return name, table(
+        [tuple(r.values()) for r in rules],
+        "kpi, first, phrases, keywords, must, exclude, fallback, penalty, hints",
+    )
+
+
+def feature_sql(source: str, terms, first) -> str:
+    density = f"len(list_filter({words_sql('content')}, lambda t: regexp_matches(t, '\\d'))) / len({words_sql('content')})"
+    return f"""SELECT *, CASE chunk_type WHEN 'table' THEN CASE WHEN real_table THEN 3.0 ELSE 1.5 END
+                   WHEN 'footnote' THEN 0.4 ELSE 1.0 END::DOUBLE AS factor
+        FROM (SELECT doc_id, chunk_index, page_number, chunk_type,
+            list_filter([{literals(terms)}], lambda t: contains(lower(content), t)) AS hits,
+            list_filter([{literals(first)}], lambda w: contains(array_to_string(keywords, ' '), w)) AS inside,
+            list_filter([{literals(first)}], lambda w: len(list_filter(keywords, lambda k: contains(w, k))) > 0) AS around,
+            list_filter([{literals(first)}], lambda w: list_contains(keywords, w)) AS exact,
+            list_contains(keywords, 'has_numbers') AS indexed_number,
+            regexp_matches(content, '\\d') AS digit, regexp_matches(content, {text('(?i)' + R.UNIT_PRESENT)}) AS has_unit,
+            regexp_matches(content, {text('(?i)' + R.DATA_SENTENCE)}) AS has_data,
+            regexp_matches(content, {text('(?i)' + R.UNIT_AFTER_NUMBER)}) AS unit_number,
+            chunk_type = 'table' AND (length(content) - length(replace(content, '|', '')) >= 2 OR {density} >= 0.10::DOUBLE) AS real_table,
+            pow(greatest(token_count, 1)::DOUBLE, 0.2::DOUBLE) AS len_pow FROM {source})"""
+
+
+JUDGE = """
+    SELECT *, greatest(0, (word + phrase + unit_bonus + num_bonus + data_bonus + answer) * factor - no_number - no_unit - penalty) AS score
+    FROM (SELECT f.*, kpi,
+        CASE WHEN CASE WHEN len(must) > 0 THEN list_has_any(must, hits) ELSE NOT list_has_any(exclude, hits) END THEN 0
+             WHEN list_has_any(fallback, hits) AND unit_number THEN 1 ELSE 2 END AS tier,
+        list_sum(list_transform(first, lambda w: CASE WHEN list_contains(exact, w) THEN 1.0 WHEN list_contains(inside, w)
+             OR list_contains(around, w) THEN 0.3 ELSE 0.0 END::DOUBLE)) / len_pow AS word,
+        len(list_filter(phrases, lambda p: list_contains(hits, p))) * 2.0::DOUBLE AS phrase,
+        CASE WHEN list_has_any(hints, hits) THEN 1.5 ELSE 0 END::DOUBLE AS unit_bonus,
+        CASE WHEN digit THEN 0.8 ELSE 0 END::DOUBLE AS num_bonus, CASE WHEN has_data THEN 1.2 ELSE 0 END::DOUBLE AS data_bonus,
+        list_has_any(must, hits) AND digit AND has_unit AS answerable,
+        CASE WHEN list_has_any(must, hits) AND digit AND has_unit THEN 5.0 ELSE 0 END::DOUBLE AS answer,
+        CASE WHEN digit THEN 0 ELSE 1.5 END::DOUBLE AS no_number,
+        CASE WHEN list_has_any(must, hits) AND NOT has_unit THEN 0.8 ELSE 0 END::DOUBLE AS no_unit,
+        len(list_filter(penalty, lambda p: list_contains(hits, p))) * 0.7::DOUBLE AS penalty
+      FROM features f, rules r WHERE {where})"""
+
+JUDGE_CTES = [
+    rule_table(_RULES), ("features", feature_sql("chunks", _TERMS, _FIRST)),
+    ("judged", JUDGE.format(where="indexed_number OR list_has_any(inside, first)")),
+]
+
+
+def stitch_ctes(keys: str, pool: str, most: int, out: str = "stitched", pool_keys: str = "doc_id") -> list[tuple[str, str]]:
+    """anchors (keys, chunk_index, page_number, score, rank) to the stitched rows."""
+    return [
+        ("met", f"""SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, p.chunk_index, p.page_number, a.rank, a.score, s.step
+            FROM anchors a, (VALUES (-1), (0), (1)) s(step) JOIN {pool} p ON p.doc_id = a.doc_id AND p.chunk_index = a.chunk_index + s.step
+            WHERE s.step = 0 OR a.page_number IS NULL OR p.page_number IS NULL OR a.page_number = p.page_number"""),
+        ("chosen", f"""SELECT {keys}, chunk_index, max(page_number) AS page_number, min(rank) FILTER (step = 0) AS own,
+            max(score) FILTER (step = 0) AS own_score, min(rank * 10 + step) FILTER (step <> 0) AS adder FROM met GROUP BY {keys}, chunk_index"""),
+        ("flagged", """SELECT *, own IS NULL OR (adder IS NOT NULL AND (adder + 1) // 10 < own) AS is_neighbor FROM chosen"""),
+        (out, f"""SELECT {keys}, chunk_index, page_number, CASE WHEN is_neighbor THEN 0.5::DOUBLE ELSE own_score END AS score, is_neighbor, position
+            FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY is_neighbor,
+                round_even(CASE WHEN is_neighbor THEN 0.5 ELSE own_score END, 6) DESC, CASE WHEN is_neighbor THEN adder ELSE own * 10 END) AS position
+              FROM flagged) WHERE position <= {most}"""),
+    ]
+
+
+RETRIEVE_CTES = JUDGE_CTES + [
+    ("counted", """SELECT *, count(*) FILTER (tier = 0) OVER g AS n0, count(*) FILTER (tier = 1) OVER g AS n1
+        FROM judged WINDOW g AS (PARTITION BY doc_id, kpi)"""),
+    ("usable", """SELECT *, row_number() OVER (PARTITION BY doc_id, kpi ORDER BY round_even(score, 6) DESC, chunk_index) AS raw
+        FROM counted WHERE score > 0 AND tier <= CASE WHEN n0 >= 2 OR (n0 > 0 AND n1 = 0) THEN 0 WHEN n1 > 0 THEN 1 ELSE 2 END"""),
+    ("raised", """SELECT u.doc_id, u.kpi, u.chunk_index, u.page_number, raw, score + CASE WHEN raw > 3 AND t.page_number IS NOT NULL
+          THEN 0.15 ELSE 0 END::DOUBLE AS score
+        FROM usable u LEFT JOIN (SELECT DISTINCT doc_id, kpi, page_number FROM usable WHERE raw <= 3 AND page_number <> 0) t
+          ON t.doc_id = u.doc_id AND t.kpi = u.kpi AND t.page_number = u.page_number"""),
+    ("anchors", """SELECT * FROM (SELECT doc_id, kpi, chunk_index, page_number, score,
+          row_number() OVER (PARTITION BY doc_id, kpi ORDER BY round_even(score, 6) DESC, raw) AS rank FROM raised) WHERE rank <= 5"""),
+    *stitch_ctes("doc_id, kpi", "chunks", 10),
+    ("positional", """SELECT o.doc_id, k.kpi, o.chunk_index, o.page_number, 0.0::DOUBLE AS score, FALSE AS is_neighbor, o.position
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS position FROM chunks) o, rules k
+        WHERE o.position <= 5 AND NOT EXISTS (SELECT 1 FROM judged j WHERE j.doc_id = o.doc_id AND j.kpi = k.kpi)"""),
+    ("retrieved", "SELECT * FROM stitched UNION ALL SELECT * FROM positional"),
+]
+
+
+@query(
+    "relevance_gate",
+    chunk_sql("""SELECT doc_id, chunk_index, kpi, relevant, fallback,
+          CASE WHEN len(must) > 0 THEN CASE WHEN hit IS NULL THEN 'no must_match term found' ELSE concat('must_match: ''', hit, '''') END
+               WHEN bad IS NOT NULL THEN concat('must_exclude hit: ''', bad, '''') ELSE 'ok' END AS reason
+        FROM (SELECT *, CASE WHEN len(must) > 0 THEN list_has_any(must, hits) ELSE NOT list_has_any(exclude, hits) END AS relevant,
+                list_has_any(fallback, hits) AND unit_number AS fallback,
+                list_filter(must, lambda t: list_contains(hits, t))[1] AS hit, list_filter(exclude, lambda t: list_contains(hits, t))[1] AS bad
+              FROM features, rules)""", JUDGE_CTES[:2]),
+)
+def _(spark, folder):
+    return V.relevance(chunks(spark, folder)).drop("fallback_reason")
+
+
+@query(
+    "score_breakdown",
+    chunk_sql("""SELECT doc_id, chunk_index, kpi, tier, round(score, 3) AS score, round(word, 3) AS kw_score, phrase AS exact_bonus, unit_bonus,
+        num_bonus AS numeric_bonus, data_bonus, answer AS ans_boost, answerable, factor AS type_mult, real_table AS is_real_table,
+        no_number AS no_numeric_pen, no_unit AS no_unit_pen, round(penalty, 3) AS penalty FROM judged""", JUDGE_CTES),
+)
+def _(spark, folder):
+    judged = V.judge_chunks(chunks(spark, folder))
+    return judged.select(
+        "doc_id", "chunk_index", "kpi", "tier", F.round("score", 3).alias("score"),
+        F.round("breakdown.kw_score", 3).alias("kw_score"),
+        *[f"breakdown.{c}" for c in (
+            "exact_bonus", "unit_bonus", "numeric_bonus", "data_bonus", "ans_boost", "answerable", "type_mult", "is_real_table",
+            "no_numeric_pen", "no_unit_pen",
+        )],
+        F.round("breakdown.penalty", 3).alias("penalty"),
+    )
+
+
+@query(
+    "keyword_retrieval",
+    chunk_sql("""SELECT doc_id, kpi, chunk_index, page_number, round(score, 3) AS score, is_neighbor, CAST(position AS INT) AS position FROM retrieved""", RETRIEVE_CTES),
+)
+def _(spark, folder):
+    return V.retrieve(chunks(spark, folder)).withColumn("score", F.round("score", 3))
+
+
+@query(
+    "retrieval_funnel",
+    chunk_sql("""SELECT doc_id, kpi, count(*) AS candidates, count(*) FILTER (tier = 0) AS passed, count(*) FILTER (tier <> 0) AS dropped,
+        count(*) FILTER (tier = 0 AND score > 0) AS scored, least(count(*) FILTER (tier = 0 AND score > 0), 5) AS final,
+        count(*) FILTER (tier = 0 AND score > 0 AND answerable) AS answerable, round(min(score) FILTER (tier = 0 AND score > 0), 3) AS lowest,
+        round(max(score) FILTER (tier = 0 AND score > 0), 3) AS highest FROM judged GROUP BY 1, 2""", JUDGE_CTES),
+)
+def _(spark, folder):
+    return V.funnel(chunks(spark, folder)).withColumn("lowest", F.round("lowest", 3)).withColumn(
+        "highest", F.round("highest", 3)
+    )
+
+
+SEARCH_WORDS = ("energy", "water consumption", "Women")
+_ASKED = V._rules([V.Metric("", "", "", "", "", None, None, keywords=SEARCH_WORDS)])
+_ASKED_TERMS = list(dict.fromkeys((*_ASKED[0]["penalty"], *_ASKED[0]["phrases"])))
+
+
+@query(
+    "adhoc_search",
+    chunk_sql("SELECT doc_id, chunk_index, page_number, round(score, 3) AS score, is_neighbor, CAST(position AS INT) AS position FROM stitched", [
+        rule_table(_ASKED),
+        ("found", "SELECT * FROM chunks WHERE " + " OR ".join(f"contains(array_to_string(keywords, ' '), {text(w.lower())})" for w in SEARCH_WORDS)),
+        ("features", feature_sql("found", _ASKED_TERMS, _ASKED[0]["first"])), ("judged", JUDGE.format(where="TRUE")),
+        ("anchors", """SELECT doc_id, chunk_index, page_number, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
+            ORDER BY round_even(score, 6) DESC, chunk_index) AS rank FROM judged WHERE score > 0) WHERE rank <= 7"""),
+        *stitch_ctes("doc_id", "found", 14),
+    ]),
+)
+def _(spark, folder):
+    return V.search(chunks(spark, folder), SEARCH_WORDS).withColumn("score", F.round("score", 3))
+
+
+_WIDE = [(m.name, list(dict.fromkeys(p.lower().split()[0] for p in (*m.keywords, *m.aliases)))) for m in METRICS]
+
+
+@query(
+    "wider_chunks",
+    chunk_sql("""SELECT doc_id, kpi, chunk_index, CAST(position AS INT) AS position, 0.3::DOUBLE AS score FROM (
+          SELECT c.doc_id, w.kpi, c.chunk_index, row_number() OVER (PARTITION BY c.doc_id, w.kpi
+            ORDER BY chunk_type DESC, page_number, chunk_index) AS position
+          FROM chunks c, wide w WHERE len(list_filter(w.first, lambda x: contains(array_to_string(c.keywords, ' '), x))) > 0
+            AND NOT EXISTS (SELECT 1 FROM retrieved r WHERE r.doc_id = c.doc_id AND r.kpi = w.kpi AND r.chunk_index = c.chunk_index))
+        WHERE position <= 5""", [*RETRIEVE_CTES, ("wide", table(_WIDE, "kpi, first"))]),
+)
+def _(spark, folder):
+    made = chunks(spark, folder)
+    return V.wider(made, V.retrieve(made)).select("doc_id", "kpi", "chunk_index", "position", "score")
