@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugework.functions.constants import any_of, words_constant
+from gaugework.functions.constants import any_of, let, words_constant
 from gaugework.rules import text as R
 
 SPACE = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
@@ -80,11 +80,14 @@ def number_count(text: Column) -> Column:
 
 def looks_like_table(text: Column) -> Column:
     """Pipes, many numbers, adjacent numbers, or a unit next to two numbers."""
-    tokens = words(text)
-    numeric = F.filter(tokens, lambda t: t.rlike(r"^[(),.]*\d([\d,.]*\d)?[(),.]*$"))
-    dense = (F.size(tokens) >= 4) & (
-        F.size(numeric) > F.size(tokens) * F.lit(R.TABLE_NUMERIC_SHARE)
-    )
+
+    def mostly_numbers(tokens: Column) -> Column:
+        numeric = F.filter(tokens, lambda t: t.rlike(r"^[(),.]*\d([\d,.]*\d)?[(),.]*$"))
+        return (F.size(tokens) >= 4) & (
+            F.size(numeric) > F.size(tokens) * F.lit(R.TABLE_NUMERIC_SHARE)
+        )
+
+    dense = let(words(text), mostly_numbers)
     unit_row = found(text, R.UNIT_WORD, "i") & (number_count(text) >= 2)
     return F.coalesce(
         (F.length(strip(text)) >= 10)
@@ -112,7 +115,10 @@ def segments(
     The fold carries sentence positions only; the strings are joined once per run.
     """
     most, least = int(max_tokens * R.WORDS_PER_TOKEN), int(min_tokens * R.WORDS_PER_TOKEN)
-    parts = sentences(text)
+    return let(sentences(text), lambda parts: _runs(parts, text, most, least, overlap))
+
+
+def _runs(parts: Column, text: Column, most: int, least: int, overlap: int) -> Column:
     sized = F.transform(parts, lambda s: F.struct(s.alias("s"), word_count(s).alias("w")))
 
     empty = F.array().cast("array<struct<a:int,b:int>>")
@@ -194,9 +200,12 @@ def parse_number(text: Column) -> Column:
 
 
 def numeric_density(text: Column) -> Column:
-    tokens = words(text)
-    numeric = F.filter(tokens, lambda t: t.rlike(rx(r"\d")))
-    return F.when(F.size(tokens) > 0, F.size(numeric) / F.size(tokens)).otherwise(F.lit(0.0))
+
+    def share(tokens: Column) -> Column:
+        numeric = F.filter(tokens, lambda t: t.rlike(rx(r"\d")))
+        return F.coalesce(F.try_divide(F.size(numeric), F.size(tokens)), F.lit(0.0))
+
+    return let(words(text), share)
 
 
 def slug(text: Column, joiner: str = "_", most: int = 40) -> Column:

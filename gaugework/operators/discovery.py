@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions.constants import any_of, constant, words_constant
+from gaugework.functions.constants import any_of, constant, let, words_constant
 from gaugework.operators.groups import first_per_group, top_per_group
 from gaugework.rules import discovery as R
 from gaugework.rules import limits as L
@@ -48,9 +48,12 @@ def name_tokens(name: Column) -> Column:
     )
     known = constant({k: list(v) for k, v in R.NAME_ALIASES.items()}, "map<string,array<string>>")
     aliases = F.coalesce(F.try_element_at(known, _bare(lowered)), F.array().cast("array<string>"))
-    pairs = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)),
+    pairs = let(
+        words,
+        lambda ws: F.transform(
+            F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))),
+            lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1)),
+        ),
     )
     return F.array_distinct(
         F.concat(
@@ -69,13 +72,16 @@ def url_core(url: Column) -> Column:
 
 def company_matches(name: Column, title: Column, url: Column) -> Column:
     """Is a company token in the title, or its letters and digits in the address?"""
-    tokens, titled, bare = name_tokens(name), F.lower(title), _bare(url_core(url))
-    in_title = F.exists(tokens, lambda t: (t != "") & F.contains(titled, t))
-    in_url = F.exists(
-        tokens,
-        lambda t: (F.length(t) >= R.NAME_WORD_MIN) & (_bare(t) != "") & F.contains(bare, _bare(t)),
+    seen = F.struct(F.lower(title).alias("title"), _bare(url_core(url)).alias("url"))
+    tokens = name_tokens(name)
+    return let(
+        seen,
+        lambda s: F.exists(
+            tokens,
+            lambda t: ((t != "") & F.contains(s["title"], t))
+            | ((F.length(t) >= R.NAME_WORD_MIN) & (_bare(t) != "") & F.contains(s["url"], _bare(t))),
+        ),
     )
-    return in_title | in_url
 
 
 def year_matches(text: Column, year: Column) -> Column:

@@ -7,17 +7,18 @@ text is joined back to the few rows that remain.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugework.functions import text as T
-from gaugework.functions.constants import constant, words_constant
+from gaugework.functions.constants import constant, let, words_constant
 from gaugework.operators.groups import top_per_group, unnest
 from gaugework.rules import relevance as R
 from gaugework.rules.catalogue import METRICS, Metric
+from gaugework.session import cut_lineage
 
 RULE_TYPE = (
     "array<struct<kpi:string,first:array<string>,phrases:array<string>,"
@@ -73,19 +74,25 @@ def chunk_features(chunks: DataFrame, rules: list[dict]) -> DataFrame:
     parts = _once(
         w[i:j] for w in first for i in range(len(w)) for j in range(i + 2, len(w) + 1)
     )
-    text, lowered = F.col("content"), F.lower("content")
+    text = F.col("content")
     index = F.array_join("keywords", " ")
-    shared = F.array_intersect(words_constant(parts), F.col("keywords"))
+    shared = F.array_intersect(F.col("keywords"), words_constant(parts))
     kind = F.col("chunk_type")
     real = (T.pipe_count(text) >= R.MIN_PIPES) | (T.numeric_density(text) >= R.MIN_NUMERIC_DENSITY)
+    inside = let(index, lambda x: F.filter(words_constant(first), lambda w: F.contains(x, w)))
+    around = let(
+        shared,
+        lambda x: F.filter(words_constant(first), lambda w: F.exists(x, lambda k: F.contains(w, k))),
+    )
     carried = [c for c in ("doc_id", "chunk_index", "page_number", "chunk_type") if c in chunks.columns]
     return chunks.select(
         *carried,
-        F.filter(words_constant(terms), lambda t: F.contains(lowered, t)).alias("_hits"),
-        F.filter(words_constant(first), lambda w: F.contains(index, w)).alias("_inside"),
-        F.filter(
-            words_constant(first), lambda w: F.exists(shared, lambda k: F.contains(w, k))
-        ).alias("_around"),
+        let(
+            F.lower("content"),
+            lambda x: F.filter(words_constant(terms), lambda t: F.contains(x, t)),
+        ).alias("_hits"),
+        inside.alias("_inside"),
+        F.array_union(inside, around).alias("_near"),
         F.array_intersect(words_constant(first), F.col("keywords")).alias("_exact"),
         F.contains(index, F.lit("has_numbers")).alias("_indexed_number"),
         T.found(text, r"\d").alias("_digit"),
@@ -120,7 +127,7 @@ def _fallback(rule: Column) -> Column:
 def _judge(rule: Column, strict_exclude: bool) -> Column:
     """Score and breakdown of the current chunk for one metric."""
     hits, exact = F.col("_hits"), F.col("_exact")
-    near = F.array_union(F.col("_inside"), F.col("_around"))
+    near = F.col("_near")
     word = F.aggregate(
         rule["first"],
         F.lit(0.0),
@@ -159,7 +166,7 @@ def _judge(rule: Column, strict_exclude: bool) -> Column:
             penalty.alias("penalty"), penalties.alias("penalty_hits"),
             F.filter(
                 rule["keywords"],
-                lambda k: F.array_contains(F.array_union(near, exact), F.split(F.lower(k), " ")[0]),
+                lambda k: F.array_contains(near, F.substring_index(F.lower(k), " ", 1)),
             ).alias("matched_kws"),
         ).alias("breakdown"),
     )
@@ -265,20 +272,23 @@ def retrieve(
     metrics: Sequence[Metric] = METRICS,
     top_k: int = R.REQUESTED_K,
     strict_exclude: bool = False,
+    stage: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """Best chunks per (document, metric): gate, score, page bonus, top k, neighbours.
 
     The rows that can still win are cut down before anything is gathered.  Within
     one page, tier and metric only the first ``k + 3`` scores can end in the top k:
     the page bonus keeps their order, and only the three best rows go without it.
+    These narrow rows are written out once (``stage``): every later step reads them
+    instead of scoring the text again.
     """
     k = min(top_k, R.MAX_K)
     key = ["doc_id", "kpi"]
     judged = judge_chunks(chunks, metrics, strict_exclude).select(
         "doc_id", "kpi", "tier", "page_number", "chunk_index", "score"
     )
-    per_page = top_per_group(
-        judged, [*key, "tier", "page_number"], _by_score(), k + R.PAGE_BONUS_TOP
+    per_page = stage(
+        top_per_group(judged, [*key, "tier", "page_number"], _by_score(), k + R.PAGE_BONUS_TOP)
     )
     heads = top_per_group(per_page, [*key, "tier"], _by_score(), k)
 
@@ -418,7 +428,7 @@ def wider(
     )
     seen = chunks.select(
         "doc_id", "chunk_index", "page_number", "chunk_type",
-        F.filter(words_constant(words), lambda w: F.contains(index, w)).alias("_in"),
+        let(index, lambda x: F.filter(words_constant(words), lambda w: F.contains(x, w))).alias("_in"),
     )
     offered = unnest(seen, kpis, "kpi", "doc_id", "chunk_index", "page_number", "chunk_type")
     fresh = offered.join(found, ["doc_id", "kpi", "chunk_index"], "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugework.operators import retrieval as V
 from gaugework.queries.registry import literals, query, table, text
-from gaugework.queries.text import chunk_sql, chunks, words_sql
+from gaugework.queries.text import chunk_sql, stored_chunks, words_sql
 from gaugework.rules import relevance as R
 from gaugework.rules.catalogue import METRICS
 
@@ -92,25 +92,25 @@ RETRIEVE_CTES = JUDGE_CTES + [
     ("anchors", """SELECT * FROM (SELECT doc_id, kpi, chunk_index, page_number, score,
           row_number() OVER (PARTITION BY doc_id, kpi ORDER BY round_even(score, 6) DESC, raw) AS rank FROM raised) WHERE rank <= 5"""),
     *stitch_ctes("doc_id, kpi", "chunks", 10),
-    ("positional", """SELECT o.doc_id, k.kpi, o.chunk_index, o.page_number, 0.0::DOUBLE AS score, FALSE AS is_neighbor, o.position
+    ("opening_rows", """SELECT o.doc_id, k.kpi, o.chunk_index, o.page_number, 0.0::DOUBLE AS score, FALSE AS is_neighbor, o.position
         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS position FROM chunks) o, rules k
         WHERE o.position <= 5 AND NOT EXISTS (SELECT 1 FROM judged j WHERE j.doc_id = o.doc_id AND j.kpi = k.kpi)"""),
-    ("retrieved", "SELECT * FROM stitched UNION ALL SELECT * FROM positional"),
+    ("retrieved", "SELECT * FROM stitched UNION ALL SELECT * FROM opening_rows"),
 ]
 
 
 @query(
     "relevance_gate",
-    chunk_sql("""SELECT doc_id, chunk_index, kpi, relevant, fallback,
+    chunk_sql("""SELECT doc_id, chunk_index, kpi, relevant, falls AS fallback,
           CASE WHEN len(must) > 0 THEN CASE WHEN hit IS NULL THEN 'no must_match term found' ELSE concat('must_match: ''', hit, '''') END
                WHEN bad IS NOT NULL THEN concat('must_exclude hit: ''', bad, '''') ELSE 'ok' END AS reason
         FROM (SELECT *, CASE WHEN len(must) > 0 THEN list_has_any(must, hits) ELSE NOT list_has_any(exclude, hits) END AS relevant,
-                list_has_any(fallback, hits) AND unit_number AS fallback,
+                list_has_any(fallback, hits) AND unit_number AS falls,
                 list_filter(must, lambda t: list_contains(hits, t))[1] AS hit, list_filter(exclude, lambda t: list_contains(hits, t))[1] AS bad
               FROM features, rules)""", JUDGE_CTES[:2]),
 )
 def _(spark, folder):
-    return V.relevance(chunks(spark, folder)).drop("fallback_reason")
+    return V.relevance(stored_chunks(spark, folder)).drop("fallback_reason")
 
 
 @query(
@@ -120,7 +120,7 @@ def _(spark, folder):
         no_number AS no_numeric_pen, no_unit AS no_unit_pen, round(penalty, 3) AS penalty FROM judged""", JUDGE_CTES),
 )
 def _(spark, folder):
-    judged = V.judge_chunks(chunks(spark, folder))
+    judged = V.judge_chunks(stored_chunks(spark, folder))
     return judged.select(
         "doc_id", "chunk_index", "kpi", "tier", F.round("score", 3).alias("score"),
         F.round("breakdown.kw_score", 3).alias("kw_score"),
@@ -137,7 +137,7 @@ def _(spark, folder):
     chunk_sql("""SELECT doc_id, kpi, chunk_index, page_number, round(score, 3) AS score, is_neighbor, CAST(position AS INT) AS position FROM retrieved""", RETRIEVE_CTES),
 )
 def _(spark, folder):
-    return V.retrieve(chunks(spark, folder)).withColumn("score", F.round("score", 3))
+    return V.retrieve(stored_chunks(spark, folder)).withColumn("score", F.round("score", 3))
 
 
 @query(
@@ -148,7 +148,7 @@ def _(spark, folder):
         round(max(score) FILTER (tier = 0 AND score > 0), 3) AS highest FROM judged GROUP BY 1, 2""", JUDGE_CTES),
 )
 def _(spark, folder):
-    return V.funnel(chunks(spark, folder)).withColumn("lowest", F.round("lowest", 3)).withColumn(
+    return V.funnel(stored_chunks(spark, folder)).withColumn("lowest", F.round("lowest", 3)).withColumn(
         "highest", F.round("highest", 3)
     )
 
@@ -170,7 +170,7 @@ _ASKED_TERMS = list(dict.fromkeys((*_ASKED[0]["penalty"], *_ASKED[0]["phrases"])
     ]),
 )
 def _(spark, folder):
-    return V.search(chunks(spark, folder), SEARCH_WORDS).withColumn("score", F.round("score", 3))
+    return V.search(stored_chunks(spark, folder), SEARCH_WORDS).withColumn("score", F.round("score", 3))
 
 
 _WIDE = [(m.name, list(dict.fromkeys(p.lower().split()[0] for p in (*m.keywords, *m.aliases)))) for m in METRICS]
@@ -186,5 +186,5 @@ _WIDE = [(m.name, list(dict.fromkeys(p.lower().split()[0] for p in (*m.keywords,
         WHERE position <= 5""", [*RETRIEVE_CTES, ("wide", table(_WIDE, "kpi, first"))]),
 )
 def _(spark, folder):
-    made = chunks(spark, folder)
+    made = stored_chunks(spark, folder)
     return V.wider(made, V.retrieve(made)).select("doc_id", "kpi", "chunk_index", "position", "score")

@@ -9,6 +9,7 @@ from gaugework.operators import chunking as C
 from gaugework.queries.registry import literals, query, text
 from gaugework.queries.views import frame, sql_with
 from gaugework.rules import text as R
+from gaugework.session import cut_lineage, spread
 from gaugework.sources import landing
 from gaugework.sources import tables as S
 
@@ -98,6 +99,11 @@ def chunks(spark, folder):
     return C.chunk_documents(C.classify_blocks(frame(spark, folder, "blocks")), ["block_key"])
 
 
+def stored_chunks(spark, folder):
+    """The same chunks written out once, as the chunk table is before retrieval."""
+    return spread(cut_lineage(chunks(spark, folder)))
+
+
 def documents(spark, folder):
     return frame(spark, folder, "documents").select("doc_id", "text")
 
