@@ -48,6 +48,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def boxed(value: Column) -> Column:
+    """Keep a large CASE out of generated code, where it would pass the method size limit."""
+    return let(F.lit(0), lambda _: value)
+
+
 def any_of(text: Column, terms) -> Column:
     """Does ``text`` (lower case) contain one of ``terms``; stops at the first hit."""
     hit = F.lit(False)

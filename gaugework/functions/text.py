@@ -227,6 +227,11 @@ def plain_number(value: Column, decimals: int) -> Column:
     return F.format_number(value, decimals)
 
 
+def plain_text(value: Column) -> Column:
+    """Shortest text of a number, without an exponent for large ones."""
+    return F.when(F.abs(value) < 1e7, value.cast("string")).otherwise(F.format_string("%.1f", value))
+
+
 def scientific(value: Column) -> Column:
     """Four-decimal scientific notation with a signed two-digit exponent."""
     return F.format_string("%.4e", value)

@@ -87,7 +87,8 @@ def process_company_years(
     gaps = R.missing(R.wanted(R.usable_reports(reports), targets), stored)
     fresh = R.first_report_with_value(
         extracted.join(gaps, keys, "left_semi"), reports, tie=tie
-    ).select(*keys, "value", "unit", F.col("extraction_method").alias("method"), "confidence")
+    ).select(*keys, "value", "unit", F.col("extraction_method").alias("method"),
+             F.coalesce("confidence", F.lit(L.DEFAULT_CONFIDENCE)).alias("confidence"))
     merged = R.merge_by_precedence(fresh, stored)
     total = R.derive_missing_total(merged).withColumnRenamed("extraction_method", "method")
     values = merged.unionByName(total)
@@ -134,7 +135,7 @@ def upload_metrics(
     plain = [*keys, "value", "unit", "method", "confidence"]
     fresh = extracted.join(stored, keys, "left_anti").filter(
         R.plausible(F.col("kpi"), F.col("value"), profile)
-    )
+    ).withColumn("confidence", F.coalesce("confidence", F.lit(L.DEFAULT_CONFIDENCE)))
     merged = R.merge_by_precedence(stored.select(*plain), fresh.select(*plain))
     return metric_table(merged)
 

@@ -1 +1,323 @@
+"""Pattern extraction, validation, model answers and revenue."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gaugework.operators import extraction as X
+from gaugework.operators import retrieval as V
+from gaugework.operators import revenue as N
+from gaugework.plans import jobs as J
+from gaugework.queries.registry import literals, query, table, text
+from gaugework.queries.retrieval import RETRIEVE_CTES
+from gaugework.queries.text import chunk_sql, stored_chunks
+from gaugework.queries.views import frame, sql_with
+from gaugework.rules import limits as L
+from gaugework.rules import patterns as P
+from gaugework.rules import units as UR
+from gaugework.rules.catalogue import METRICS
+
+# --------------------------------------------------------------------------
+# SQL parts
+# --------------------------------------------------------------------------
+_NUMBER = "TRY_CAST(replace(replace(raw, ',', ''), ' ', '') AS DOUBLE)"
+_DELTA_WINDOW = "substr(content, greatest(0, {at} - 150) + 1, least(length(content), {at} + 150) - greatest(0, {at} - 150))"
+
+
+def delta_sql(at: str) -> str:
+    window = _DELTA_WINDOW.format(at=at)
+    piece = f"coalesce(list_filter(regexp_split_to_array({window}, '[.!?\\n]'), lambda p: length(p) > 5)[1], {window})"
+    return f"regexp_matches({piece}, {text('(?i)' + P.DELTA_WORDING)})"
+
+
+def _group(pattern: str, group: int, flags: str) -> str:
+    return f"nullif(regexp_extract(content, {text(f'(?{flags})' + pattern)}, {group}), '')"
+
+
+def _hit_list(patterns, flags: str, unit: bool) -> str:
+    items = []
+    for i, p in enumerate(patterns):
+        at = f"length(regexp_extract(content, {text('(?is)^(.*?)(?:' + p + ')')}, 1))" if unit else "0"
+        u = f"regexp_extract(content, {text('(?is)' + p)}, 2)" if unit else "NULL::VARCHAR"
+        items.append(f"{{'pos': {i}, 'raw': {_group(p, 1, flags)}, 'unit': {u}, 'at': {at}}}")
+    return "[" + ", ".join(items) + "]"
+
+
+def _by_kpi(make) -> str:
+    branches = []
+    for m in METRICS:
+        patterns, flags, unit = make(m)
+        if patterns:
+            branches.append(f"WHEN '{m.name}' THEN {_hit_list(patterns, flags, unit)}")
+    return "CASE kpi " + " ".join(branches) + " END"
+
+
+_SCOPE = "CASE " + " ".join(f"WHEN contains(l, {text(w)}) THEN {s}" for w, s in P.GHG_HEADERS) + " END"
+_LAST = f"list_filter(list_transform(string_split(lower(content), chr(10)), lambda l: {_SCOPE}), lambda c: c IS NOT NULL)[-1]"
+_EXEMPT = f"kpi IN ({literals(P.DELTA_EXEMPT)})"
+
+
+def _stage(n: int, hits: str, where: str, confidence: str, unit: str, source: str = "found") -> str:
+    return f"""SELECT doc_id, kpi, chunk_index, chunk_type, position, {n} AS stage, h.pos AS pattern, raw AS raw_value, value, {unit} AS unit, {confidence} AS confidence
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kpi, chunk_index, position ORDER BY h.pos) AS rn FROM (
+        SELECT *, h.raw AS raw, TRY_CAST(replace(replace(h.raw, ',', ''), ' ', '') AS DOUBLE) AS value,
+               coalesce(s.canonical, trim(h.unit)) AS said, m.expected_unit AS expected
+        FROM (SELECT *, unnest({hits}) AS h FROM {source}) f LEFT JOIN syn s ON s.spelled = lower(trim(h.unit)) JOIN metrics m USING (kpi))
+      WHERE value IS NOT NULL AND {where}) WHERE rn = 1"""
+
+
+def _sure(pair) -> str:
+    return f"CASE WHEN chunk_type = 'table' THEN {pair[0]} ELSE {pair[1]} END::DOUBLE"
+
+
+_BLOCK_CONF = (
+    f"CASE WHEN kpi IN ({literals(P.COMPLAINT_METRICS)}) THEN {_sure(P.BLOCK_CONFIDENCE_COMPLAINT)} "
+    f"WHEN kpi = 'renewable_energy_percentage' THEN {_sure(P.BLOCK_CONFIDENCE_RENEWABLE)} ELSE {_sure(P.BLOCK_CONFIDENCE)} END"
+)
+_BLOCK_OK = (
+    f"value > 0 AND CASE WHEN kpi IN ({literals(P.COMPLAINT_METRICS)}) THEN value <= 10000000 "
+    "WHEN kpi = 'renewable_energy_percentage' THEN value <= 100 ELSE value >= 0.1 END"
+)
+BLOCK = _stage(0, _by_kpi(lambda m: (P.BLOCK.get(m.name), "ism", False)), _BLOCK_OK, _BLOCK_CONF, "expected")
+GHG = _stage(
+    1, _by_kpi(lambda m: (P.GHG_ROW if m.name in P.GHG_SCOPE else None, "i", False)),
+    f"value >= 10 AND (contains(lower(content), 'ghg into co') OR contains(lower(content), 'break-up of the ghg')) AND {_LAST} = CASE kpi "
+    + " ".join(f"WHEN '{k}' THEN {s}" for k, s in P.GHG_SCOPE.items()) + " END",
+    _sure(P.GHG_ROW_CONFIDENCE), "expected",
+)
+SPECIFIC = _stage(
+    2, _by_kpi(lambda m: ([p for p in m.patterns if X.group_count(p) >= 2], "is", True)),
+    f"({_EXEMPT} OR NOT {delta_sql('h.at')})", _sure(P.SPECIFIC_CONFIDENCE), "said",
+)
+BROAD = _stage(
+    3, _by_kpi(lambda m: (None if m.name in P.COMPLAINT_METRICS else P.BROAD, "is", True)),
+    f"lower(said) = lower(expected) AND ({_EXEMPT} OR NOT {delta_sql('h.at')}) AND len(list_filter(vocabulary, lambda w: contains(lower(content), w))) > 0",
+    _sure(P.BROAD_CONFIDENCE), "said",
+)
+PATTERN_CTES = [
+    *RETRIEVE_CTES,
+    ("syn", table(list(UR.SYNONYMS.items()), "spelled, canonical")),
+    ("metrics", table([(m.name, m.expected_unit, m.valid_min, m.valid_max, m.single_words()) for m in METRICS],
+                      "kpi, expected_unit, valid_min, valid_max, vocabulary")),
+    ("found", """SELECT r.doc_id, r.kpi, r.chunk_index, r.position, r.is_neighbor, r.page_number, c.chunk_type, c.content
+        FROM retrieved r JOIN chunks c USING (doc_id, chunk_index)"""),
+    ("block_hits", BLOCK),
+    ("candidates", f"""SELECT b.* FROM block_hits b JOIN found f USING (doc_id, kpi, chunk_index, position) WHERE {_EXEMPT.replace('kpi', 'b.kpi')}
+          OR NOT {delta_sql('0')}
+        UNION ALL {GHG} UNION ALL {SPECIFIC} UNION ALL {BROAD}"""),
+    ("winners", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kpi ORDER BY confidence >= 0.88 DESC,
+          CASE WHEN confidence >= 0.88 THEN 0 ELSE -confidence END, CASE WHEN chunk_type = 'table' THEN 0 ELSE 1 END, position, stage, pattern) AS rn
+        FROM candidates) WHERE rn = 1"""),
+]
+_CANDIDATE = "doc_id, kpi, chunk_index, CAST(stage AS INT) AS stage, CAST(pattern AS INT) AS pattern, raw_value, value, unit, confidence"
+_CANDIDATE_COLUMNS = ("doc_id", "kpi", "chunk_index", "stage", "pattern", "raw_value", "value", "unit", "confidence")
+
+
+def found(spark, folder):
+    made = stored_chunks(spark, folder)
+    return V.attach_text(V.retrieve(made), made)
+
+
+@query("block_patterns", chunk_sql("SELECT doc_id, kpi, chunk_index, raw_value, value, confidence FROM block_hits", PATTERN_CTES))
+def _(spark, folder):
+    return X.block_hits(found(spark, folder)).select(
+        "doc_id", "kpi", "chunk_index", F.col("hit.raw").alias("raw_value"), F.col("hit.value").alias("value"), F.col("hit.confidence").alias("confidence")
+    )
+
+
+@query("ghg_rows", chunk_sql(f"SELECT doc_id, kpi, chunk_index, raw_value, value, confidence FROM ({GHG})", PATTERN_CTES))
+def _(spark, folder):
+    return X.ghg_hits(found(spark, folder)).select(
+        "doc_id", "kpi", "chunk_index", F.col("hit.raw").alias("raw_value"), F.col("hit.value").alias("value"), F.col("hit.confidence").alias("confidence")
+    )
+
+
+@query("pattern_candidates", chunk_sql(f"SELECT {_CANDIDATE} FROM candidates", PATTERN_CTES))
+def _(spark, folder):
+    return X.candidates(found(spark, folder)).select(*_CANDIDATE_COLUMNS)
+
+
+@query("regex_cascade", chunk_sql(f"SELECT {_CANDIDATE} FROM winners", PATTERN_CTES))
+def _(spark, folder):
+    return X.cascade(found(spark, folder)).select(*_CANDIDATE_COLUMNS)
+
+
+@query(
+    "extract_metrics",
+    chunk_sql("""SELECT doc_id, kpi, value, unit, confidence, 'regex' AS extraction_method,
+          coalesce(value >= valid_min AND value <= valid_max AND confidence >= 0.4, TRUE) AS validation_passed
+        FROM winners JOIN metrics USING (kpi)
+        UNION ALL
+        SELECT doc_id, 'total_ghg_emissions', round_even(s1 + s2, 2), 'tCO2e', round_even(least(c1, c2), 3), 'derived', TRUE FROM (
+          SELECT doc_id, max(value) FILTER (kpi = 'scope_1_emissions') AS s1, max(value) FILTER (kpi = 'scope_2_emissions') AS s2,
+            max(value) FILTER (kpi = 'total_ghg_emissions') AS t, max(confidence) FILTER (kpi = 'scope_1_emissions') AS c1,
+            max(confidence) FILTER (kpi = 'scope_2_emissions') AS c2 FROM winners GROUP BY 1)
+        WHERE t IS NULL AND s1 IS NOT NULL AND s2 IS NOT NULL""".replace("unit, confidence, 'regex'", "winners.unit, confidence, 'regex'"), PATTERN_CTES),
+)
+def _(spark, folder):
+    return J.extract_metrics(stored_chunks(spark, folder)).select(
+        "doc_id", "kpi", "value", "unit", "confidence", "extraction_method", "validation_passed"
+    )
+
+
+@query(
+    "context_packing",
+    chunk_sql("""SELECT doc_id, kpi, CAST(count(*) AS INT) AS blocks, md5(rtrim(string_agg(block, '' ORDER BY at), chr(10) || ' ')) AS context FROM (
+          SELECT *, sum(length(block)) OVER (PARTITION BY doc_id, kpi ORDER BY at) AS total FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, kpi ORDER BY is_neighbor, position, chunk_index) AS at,
+              concat(CASE WHEN chunk_type = 'table' THEN '[TABLE | Page ' ELSE '[Page ' END, page_number, ']', chr(10), content, chr(10), chr(10)) AS block FROM found))
+        WHERE total <= 6000 GROUP BY 1, 2""", PATTERN_CTES[:-3]),
+)
+def _(spark, folder):
+    return X.context_blocks(found(spark, folder)).withColumn("context", F.md5("context"))
+
+
+@query("delta_context", sql_with(["blocks"], f"SELECT block_key, {delta_sql('0')} AS at_start, {delta_sql('length(content) // 2')} AS in_middle FROM blocks"))
+def _(spark, folder):
+    middle = F.floor(F.length("content") / 2).cast("int")
+    return frame(spark, folder, "blocks").select(
+        "block_key", X.delta_context(F.col("content"), F.lit(0)).alias("at_start"), X.delta_context(F.col("content"), middle).alias("in_middle")
+    )
+
+
+VALIDATE = """SELECT record_id, NOT (coalesce(value < valid_min, FALSE) OR coalesce(value > valid_max, FALSE) OR coalesce(confidence < 0.4, FALSE)) AS validation_passed,
+    nullif(concat_ws(' | ', CASE WHEN value < valid_min THEN concat('Value ', CAST(value AS VARCHAR), ' below minimum ', CAST(valid_min AS VARCHAR)) END,
+      CASE WHEN value > valid_max THEN concat('Value ', CAST(value AS VARCHAR), ' exceeds maximum ', CAST(valid_max AS VARCHAR)) END,
+      CASE WHEN unit <> '' AND lower(unit) <> lower(expected_unit) THEN concat('Unit mismatch: got ''', unit, ''', expected ''', expected_unit, '''') END,
+      CASE WHEN confidence < 0.4 THEN printf('Confidence too low: %.2f', confidence) END), '') AS validation_notes
+  FROM kpi_records JOIN catalogue ON name = kpi"""
+
+
+@query("validate_records", sql_with(["kpi_records"], VALIDATE, [
+    ("catalogue", table([(m.name, m.expected_unit, m.valid_min, m.valid_max) for m in METRICS], "name, expected_unit, valid_min, valid_max"))]))
+def _(spark, folder):
+    return X.validate(frame(spark, folder, "kpi_records")).select("record_id", "validation_passed", "validation_notes")
+
+
+@query(
+    "parse_responses",
+    sql_with(["responses"], """SELECT conv_id, turn, kpi, CASE WHEN millions THEN v * 1e6 ELSE v END AS value,
+          CASE WHEN millions THEN 'tCO2e' ELSE coalesce(canonical, trim(u)) END AS unit, confidence
+        FROM (SELECT *, kpi IN ('scope_1_emissions', 'total_ghg_emissions') AND (contains(lower(u), 'million') OR contains(replace(lower(u), ' ', ''), 'mtco2')) AND v < 10000 AS millions
+          FROM (SELECT conv_id, turn, kpi, TRY_CAST(regexp_extract(text, '"value": ([0-9.]+)', 1) AS DOUBLE) AS v, regexp_extract(text, '"unit": "([^"]*)"', 1) AS u,
+                  TRY_CAST(regexp_extract(text, '"confidence": ([0-9.]+)', 1) AS DOUBLE) AS confidence FROM responses)
+          WHERE v IS NOT NULL AND confidence IS NOT NULL) LEFT JOIN syn ON syn.raw = trim(lower(u))""",
+             [("syn", table(list(UR.SYNONYMS.items()), "raw, canonical"))]),
+)
+def _(spark, folder):
+    return X.response_values(frame(spark, folder, "responses")).select("conv_id", "turn", "kpi", "value", "unit", "confidence")
+
+
+# --------------------------------------------------------------------------
+# Revenue
+# --------------------------------------------------------------------------
+def _has(words, x: str = "lower(text)") -> str:
+    return "(" + " OR ".join(f"contains({x}, {text(w)})" for w in words) + ")"
+
+
+_REGEX_LISTS = ", ".join(
+    f"list_transform(regexp_extract_all(text, {text('(?i)' + p)}, {g}), lambda r: {{'name': '{n}', 'raw': r, 'base': {c}::DOUBLE, 'n': {i}}})"
+    for i, (n, p, g, c) in enumerate(P.REVENUE)
+)
+_TOTAL = "CASE " + " ".join(
+    f"WHEN regexp_extract(near, {text(f'(?im)' + p if k == 'waste' else '(?i)' + p)}, 1) <> '' THEN {{'kind': '{k}', 'total': TRY_CAST(replace(regexp_extract(near, "
+    f"{text('(?im)' + p if k == 'waste' else '(?i)' + p)}, 1), ',', '') AS DOUBLE), 'conf': {c}::DOUBLE}}"
+    for k, p, c in P.TOTALS
+) + " END"
+REVENUE_CTES = [
+    ("gated", f"""SELECT *, {_has(P.FORCE_WORDING)} AS has_intensity, {_has(P.FINANCIAL_WORDING)} AS is_financial,
+          contains(lower(text), 'consolidated') AND contains(lower(text), 'standalone') AS is_consolidated
+        FROM report_pages WHERE (contains(lower(text), 'revenue') OR {_has(P.FORCE_WORDING)}) AND ({_has(P.FORCE_WORDING)} OR NOT {_has(P.SKIP_WORDING)})"""),
+    ("stated", f"""SELECT report_id, page_number, value_cr, raw_value, 'regex' AS source, pattern_name, least(base + CASE WHEN is_financial THEN 0.04 ELSE 0 END::DOUBLE, 0.99) AS confidence, n AS seq
+        FROM (SELECT *, m.name AS pattern_name, m.raw AS raw_value, m.base AS base, m.n AS n, TRY_CAST(replace(m.raw, ',', '') AS DOUBLE) AS value_cr
+              FROM (SELECT *, unnest(flatten([{_REGEX_LISTS}])) AS m FROM gated))
+        WHERE (pattern_name <> 'consolidated_col3' OR is_consolidated) AND value_cr BETWEEN 1000 AND 9000000"""),
+    # One intensity per page in these reports, so the first match is all of them.
+    ("ratios", f"""SELECT *, TRY_CAST(regexp_extract(text, {text('(?i)' + P.INTENSITY)}, 1) AS DOUBLE) AS ratio,
+          length(regexp_extract(text, {text('(?is)^(.*?)(?:' + P.INTENSITY + ')')}, 1)) AS first_at, length(regexp_extract(text, {text('(?i)' + P.INTENSITY)}, 0)) AS len
+        FROM gated WHERE contains(lower(text), 'intensity per rupee') AND regexp_matches(text, {text('(?i)' + P.INTENSITY)})"""),
+    ("backed", f"""SELECT report_id, page_number, value_cr, 'back_calc' AS source, concat('back_calc_', k.kind, CASE WHEN ratio >= 1 THEN '_per_crore' ELSE '_per_rupee' END) AS pattern_name,
+          k.conf AS confidence, 0 AS seq FROM (
+            SELECT *, round_even(CASE WHEN ratio >= 1 THEN k.total / ratio ELSE k.total / ratio / 1e7 END, 0) AS value_cr FROM (
+              SELECT *, {_TOTAL} AS k FROM (SELECT *, substr(text, greatest(0, first_at - 1500) + 1, least(length(text), first_at + len + 1500) - greatest(0, first_at - 1500)) AS near
+                FROM ratios WHERE ratio > 0)) WHERE k.total > 0)
+        WHERE value_cr BETWEEN 1000 AND 9000000"""),
+    ("best_back", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY confidence DESC, page_number, seq) AS rn FROM backed) WHERE rn = 1"""),
+    ("consensus", """SELECT b.report_id, CASE WHEN k > 1 THEN round_even(mean, 0) ELSE b.value_cr END AS v, CASE WHEN k > 1 THEN least(0.97, b.confidence + 0.03 * (k - 1)) ELSE b.confidence END AS c,
+          CASE WHEN k > 1 THEN concat('consensus_', k) ELSE b.pattern_name END AS n, b.page_number AS p
+        FROM best_back b JOIN (SELECT a.report_id, avg(a.value_cr) AS mean, count(*) AS k FROM backed a JOIN best_back b USING (report_id)
+          WHERE abs(a.value_cr - b.value_cr) / b.value_cr < 0.03 GROUP BY 1) USING (report_id)"""),
+    ("sides", """SELECT * FROM (SELECT *, confidence >= 0.90 AS sure, row_number() OVER (PARTITION BY report_id, confidence >= 0.90
+          ORDER BY confidence DESC, value_cr DESC, page_number, seq) AS rn FROM stated) WHERE rn = 1"""),
+    ("picked", """SELECT report_id, CASE w WHEN 1 THEN v WHEN 2 THEN rv WHEN 3 THEN v WHEN 4 THEN rv ELSE ov END AS value_cr, 'INR_Crore' AS raw_unit,
+          CASE WHEN w IN (1, 3) THEN 'back_calc' ELSE 'regex' END AS source, CASE w WHEN 1 THEN n WHEN 2 THEN rn_ WHEN 3 THEN n WHEN 4 THEN rn_ ELSE on_ END AS pattern_name,
+          CASE w WHEN 1 THEN least(0.99, c + 0.02) WHEN 2 THEN rc WHEN 3 THEN c WHEN 4 THEN rc ELSE oc END AS confidence
+        FROM (SELECT *, CASE WHEN v IS NOT NULL AND rv IS NOT NULL AND abs(rv - v) / v < 0.02 THEN 1 WHEN v IS NOT NULL AND rv IS NOT NULL AND rc > c THEN 2
+                WHEN v IS NOT NULL THEN 3 WHEN rv IS NOT NULL THEN 4 ELSE 5 END AS w
+          FROM consensus FULL JOIN (SELECT report_id, max(value_cr) FILTER (sure) AS rv, max(confidence) FILTER (sure) AS rc, max(pattern_name) FILTER (sure) AS rn_,
+              max(value_cr) FILTER (NOT sure) AS ov, max(confidence) FILTER (NOT sure) AS oc, max(pattern_name) FILTER (NOT sure) AS on_ FROM sides GROUP BY 1) USING (report_id))"""),
+]
+
+
+def revenue_sql(body: str, extra=()) -> str:
+    return sql_with(["report_pages"], body, [*REVENUE_CTES, *extra])
+
+
+def pages(spark, folder):
+    return frame(spark, folder, "report_pages")
+
+
+@query("revenue_pages", revenue_sql("SELECT report_id, page_number, has_intensity, is_financial, is_consolidated FROM gated"))
+def _(spark, folder):
+    return N.revenue_pages(pages(spark, folder)).select("report_id", "page_number", "has_intensity", "is_financial", "is_consolidated")
+
+
+@query("revenue_candidates", revenue_sql("SELECT report_id, page_number, value_cr, raw_value, pattern_name, round(confidence, 4) AS confidence FROM stated"))
+def _(spark, folder):
+    return N.stated_revenue(N.revenue_pages(pages(spark, folder))).select(
+        "report_id", "page_number", "value_cr", "raw_value", "pattern_name", F.round("confidence", 4).alias("confidence")
+    )
+
+
+@query("revenue_backcalc", revenue_sql("SELECT report_id, page_number, value_cr, pattern_name, confidence FROM backed"))
+def _(spark, folder):
+    return N.backed_revenue(N.revenue_pages(pages(spark, folder))).select("report_id", "page_number", "value_cr", "pattern_name", "confidence")
+
+
+@query("revenue_pick", revenue_sql("SELECT report_id, value_cr, raw_unit, source, pattern_name, round(confidence, 4) AS confidence FROM picked"))
+def _(spark, folder):
+    return N.extract_revenue(pages(spark, folder)).select(
+        "report_id", "value_cr", "raw_unit", "source", "pattern_name", F.round("confidence", 4).alias("confidence")
+    )
+
+
+@query(
+    "prompt_pages",
+    revenue_sql("""SELECT report_id, CAST(position AS INT) AS position, page_number, CAST(rank_class AS INT) AS rank_class, page_text FROM (
+          SELECT *, min(rank_class) OVER (PARTITION BY report_id) AS best FROM (
+            SELECT report_id, page_number, rank_class, left(text, 4000) AS page_text, row_number() OVER (PARTITION BY report_id ORDER BY rank_class, page_number) AS position FROM (
+              SELECT *, 0 AS rank_class FROM gated WHERE has_intensity UNION ALL SELECT *, 1 FROM gated WHERE is_financial
+              UNION ALL SELECT *, 2 FROM gated WHERE NOT has_intensity AND NOT is_financial)) WHERE position <= 5)
+        WHERE rank_class < 2 OR (best = 2 AND position <= 3)"""),
+)
+def _(spark, folder):
+    return N.prompt_pages(pages(spark, folder))
+
+
+_LABELS = [(k, i, label) for k, labels in L.RATIO_LABELS.items() for i, label in enumerate(labels)]
+
+
+@query(
+    "reported_ratio",
+    sql_with(["report_pages", "kpi_records"], f"""SELECT report_id, kpi, round(ratio, 6) AS reported_ratio FROM (
+          SELECT *, row_number() OVER (PARTITION BY report_id, kpi ORDER BY page_number, label_no) AS rn FROM (
+            SELECT s.report_id, s.kpi, s.page_number, s.label_no, s.ratio, v.value FROM (
+              SELECT report_id, page_number, kpi, label_no, TRY_CAST(nullif(regexp_extract(substr(text, instr(lower(text), label), 400), {text(L.RATIO_VALUE)}, 1), '') AS DOUBLE) * 1e7 AS ratio
+              FROM report_pages, labels_ WHERE contains(lower(text), label)) s
+            JOIN (SELECT report_id, kpi, max(value) AS value FROM kpi_records WHERE value IS NOT NULL GROUP BY 1, 2) v USING (report_id, kpi)
+            WHERE s.ratio > 0 AND (v.value <= 0 OR v.value / s.ratio BETWEEN 1000 AND 9000000))) WHERE rn = 1""",
+             [("labels_", table(_LABELS, "kpi, label_no, label"))]),
+)
+def _(spark, folder):
+    values = frame(spark, folder, "kpi_records").filter(F.col("value").isNotNull()).groupBy("report_id", "kpi").agg(F.max("value").alias("value"))
+    return N.reported_ratio(pages(spark, folder), values).withColumn("reported_ratio", F.round("reported_ratio", 6))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import text as T
 from gaugework.operators import chunking as C
+from gaugework.operators.groups import unnest
 from gaugework.queries.registry import literals, query, text
 from gaugework.queries.views import frame, sql_with
 from gaugework.rules import text as R
@@ -153,41 +154,13 @@ SEGMENTS = f"""
       SELECT doc_id, cut_from AS a, i - 1 AS b FROM walk WHERE cut_from IS NOT NULL
       UNION ALL SELECT doc_id, first, i FROM walk JOIN sized USING (doc_id) WHERE i = len(s)
     )
-    SELECT doc_id, md5(array_to_string(s[a:b], ' ')) AS segment, b - a + 1 AS sentences FROM runs JOIN sized USING (doc_id)"""
+    SELECT doc_id, md5(array_to_string(s[a:b], ' ')) AS segment FROM runs JOIN sized USING (doc_id)"""
 
 
 @query("sentence_segments", SEGMENTS)
 def _(spark, folder):
-    runs = documents(spark, folder).select("doc_id", "text", F.explode(T.segments(F.col("text"))).alias("run"))
-    # Joined sentences hold no marker, so count them again from the text of the run.
-    marked = documents(spark, folder).select(
-        "doc_id", F.transform(T.sentences(F.col("text")), lambda s: s).alias("s")
-    )
-    return runs.join(marked, "doc_id").select(
-        "doc_id", F.md5("run").alias("segment"), segment_size(F.col("s"), F.col("run")).alias("sentences")
-    )
-
-
-def segment_size(sentences, run):
-    """Sentences whose space-joined text is ``run``: found from its start position."""
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size(sentences)), lambda i: F.startswith(run, F.get(sentences, i - 1))
-    )
-    ends = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.aggregate(
-                F.slice(sentences, i, F.size(sentences)),
-                F.struct(F.lit(-1).alias("n"), F.lit(0).cast("long").alias("k")),
-                lambda acc, s: F.struct(
-                    (acc["n"] + F.length(s) + 1).alias("n"),
-                    F.when(acc["n"] < F.length(run), acc["k"] + 1).otherwise(acc["k"]).alias("k"),
-                ),
-                lambda acc: F.array(acc["k"]),
-            ),
-        )
-    )
-    return F.get(ends, 0).cast("long")
+    runs = unnest(documents(spark, folder), T.segments(F.col("text")), "run", "doc_id")
+    return runs.select("doc_id", F.md5("run").alias("segment"))
 
 
 @query(
