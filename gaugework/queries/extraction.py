@@ -162,9 +162,9 @@ def _(spark, folder):
 
 @query(
     "context_packing",
-    chunk_sql("""SELECT doc_id, kpi, CAST(count(*) AS INT) AS blocks, md5(rtrim(string_agg(block, '' ORDER BY at), chr(10) || ' ')) AS context FROM (
-          SELECT *, sum(length(block)) OVER (PARTITION BY doc_id, kpi ORDER BY at) AS total FROM (
-            SELECT *, row_number() OVER (PARTITION BY doc_id, kpi ORDER BY is_neighbor, position, chunk_index) AS at,
+    chunk_sql("""SELECT doc_id, kpi, CAST(count(*) AS INT) AS blocks, md5(rtrim(string_agg(block, '' ORDER BY at_no), chr(10) || ' ')) AS context FROM (
+          SELECT *, sum(length(block)) OVER (PARTITION BY doc_id, kpi ORDER BY at_no) AS total FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, kpi ORDER BY is_neighbor, position, chunk_index) AS at_no,
               concat(CASE WHEN chunk_type = 'table' THEN '[TABLE | Page ' ELSE '[Page ' END, page_number, ']', chr(10), content, chr(10), chr(10)) AS block FROM found))
         WHERE total <= 6000 GROUP BY 1, 2""", PATTERN_CTES[:-3]),
 )
