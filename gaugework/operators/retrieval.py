@@ -124,8 +124,8 @@ def _fallback(rule: Column) -> Column:
     return F.arrays_overlap(rule["fallback"], F.col("_hits")) & F.col("_unit_number")
 
 
-def _judge(rule: Column, strict_exclude: bool) -> Column:
-    """Score and breakdown of the current chunk for one metric."""
+def _judge(rule: Column, strict_exclude: bool, full: bool = True) -> Column:
+    """Score, and if asked for its breakdown, of the current chunk for one metric."""
     hits, exact = F.col("_hits"), F.col("_exact")
     near = F.col("_near")
     word = F.aggregate(
@@ -153,10 +153,12 @@ def _judge(rule: Column, strict_exclude: bool) -> Column:
     tier = (
         F.when(_strict(rule, strict_exclude), 0).when(_fallback(rule), 1).otherwise(2)
     )
+    score = F.greatest(F.lit(0.0), base - no_number - no_unit - penalty)
+    verdict = (rule["kpi"].alias("kpi"), tier.alias("tier"), score.alias("score"))
+    if not full:
+        return F.struct(*verdict)
     return F.struct(
-        rule["kpi"].alias("kpi"),
-        tier.alias("tier"),
-        F.greatest(F.lit(0.0), base - no_number - no_unit - penalty).alias("score"),
+        *verdict,
         F.struct(
             word.alias("kw_score"), phrase.alias("exact_bonus"), unit.alias("unit_bonus"),
             numeric.alias("numeric_bonus"), data.alias("data_bonus"), answer.alias("ans_boost"),
@@ -173,7 +175,7 @@ def _judge(rule: Column, strict_exclude: bool) -> Column:
 
 
 def judge_chunks(
-    chunks: DataFrame, metrics: Sequence[Metric] = METRICS, strict_exclude: bool = False
+    chunks: DataFrame, metrics: Sequence[Metric] = METRICS, strict_exclude: bool = False, full: bool = True
 ) -> DataFrame:
     """Every candidate (chunk, metric) with tier, score and breakdown.
 
@@ -182,7 +184,7 @@ def judge_chunks(
     rules = [r for r in _rules(metrics) if r["first"]]
     features = chunk_features(chunks, rules)
     judged = F.transform(
-        F.filter(_constant(rules), _candidate), lambda r: _judge(r, strict_exclude)
+        F.filter(_constant(rules), _candidate), lambda r: _judge(r, strict_exclude, full)
     )
     return unnest(
         features, judged, "_j", "doc_id", "chunk_index", "page_number", "chunk_type"
@@ -284,7 +286,7 @@ def retrieve(
     """
     k = min(top_k, R.MAX_K)
     key = ["doc_id", "kpi"]
-    judged = judge_chunks(chunks, metrics, strict_exclude).select(
+    judged = judge_chunks(chunks, metrics, strict_exclude, full=False).select(
         "doc_id", "kpi", "tier", "page_number", "chunk_index", "score"
     )
     per_page = stage(
@@ -376,7 +378,7 @@ def search(
     judged = (
         unnest(
             chunk_features(found, rules),
-            F.transform(_constant(rules), lambda r: _judge(r, False)),
+            F.transform(_constant(rules), lambda r: _judge(r, False, full=False)),
             "_j", "doc_id", "chunk_index", "page_number",
         )
         .select("doc_id", "chunk_index", "page_number", "_j.score")

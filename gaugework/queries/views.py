@@ -20,7 +20,7 @@ TABLES = (
 )
 
 # Inputs of text work, which is worth an even spread over the cores
-TEXT_HEAVY = ("documents", "numbers", "conversations", "embeddings")
+TEXT_HEAVY = ("documents", "lineitem", "conversations", "embeddings")
 
 
 def _case(expr: str, values, start: int = 0) -> str:
