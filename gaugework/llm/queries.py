@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm import quality_rules
+from gaugework.llm import jaccard_join, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +32,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     trees = quality_rules.train(docs, labels)
     return quality_rules.judge(docs.select("doc_id", "text"), trees).drop("text")
+
+
+@query("op8_ngram_jaccard_join")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.link(table(spark, folder, "documents"))
