@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm import jaccard_join, quality_rules
+from gaugework.llm import jaccard_join, quality_rules, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,3 +37,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_jaccard_join")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.link(table(spark, folder, "documents"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
