@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm import jaccard_join, quality_rules, suffix_dedup
+from gaugework.llm import jaccard_join, mixing, quality_rules, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_suffix_array_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op1_mixing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.copies(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies"
+    )
