@@ -8,10 +8,11 @@ class of pairs, exceed the shingles that a linked partner may lack; two linked n
 then share a key.  Which shingles count as frequent only steers the work: any choice
 gives the same links.
 
-Candidates are verified by exact set comparison.  First every node against the smallest
-node under its key, which joins large groups by one star each; then only nodes of
-different components under a key, where the distances to that smallest node leave a
-link possible (Jaccard distance obeys the triangle inequality).
+Candidates are verified by exact set comparison, after bucket counts have bounded what
+two sets can share.  First every node against the smallest node under its key, which
+joins large groups by one star each; then only nodes of different components under a
+key, where the distances to that smallest node leave a link possible (Jaccard distance
+obeys the triangle inequality).
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.components import components
@@ -142,61 +144,125 @@ def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, node long")
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts travel compressed."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [press.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+
 def _pack(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
     key, node = np.concatenate(keys).astype(np.int64), np.concatenate(nodes)
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Shingles per bucket, two on average; 255 stands for any more."""
+    buckets = 1 << max(5, (len(shingles) // 2).bit_length())
+    counts = np.bincount((mix(shingles) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _most_shared(a: bytes, b: bytes) -> int:
+    """No fewer than the shingles that two sketched sets share."""
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in sorted((a, b), key=len))
+    x, y = np.where(x == 255, 1 << 40, x), np.where(y == 255, 1 << 40, y)
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(0)).sum())
+
+
+def _unpacked(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(t, max_output_size=1 << 31) for t in column.to_pylist()], pa.binary())
+
+
+def _few(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and sketch of each candidate; a row of the same id with another text is not the candidate."""
+    for batch in (part for whole in batches for part in _few(whole)):
+        out = [
+            (node, len(s), _sketch(s), packed)
+            for node, packed, s in zip(batch.column("node").to_pylist(), batch.column("packed").to_pylist(), shingle_sets(_unpacked(batch.column("packed"))))
+            if fingerprint(s) == node
+        ]
+        node, size, sketch, packed = zip(*out) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), pa.array(packed, pa.binary())],
+            ["node", "size", "sketch", "packed"],
+        )
+
+
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        most = [_most_shared(x, y) for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
+        most = np.minimum(np.array(most, np.int64), np.minimum(batch.column("size_a"), batch.column("size_b")))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("a", "b", "size_a", "size_b")), pa.array(most, pa.int64())], ["a", "b", "size_a", "size_b", "most"]
+        )
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each pair with its set sizes and an upper bound of what they share."""
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+    return pairs.mapInArrow(_bound, "a long, b long, size_a long, size_b long, most long")
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, slot, role): the set of ``a``, then each ``b`` to hold against it."""
     group, base = None, None
-    for batch in batches:
+    for batch in (part for whole in batches for part in _few(whole)):
         out: list[tuple] = []
         columns = [batch.column(c).to_pylist() for c in ("a", "slot", "role", "b")]
-        for a, slot, role, b, shingles in zip(*columns, shingle_sets(batch.column("text"))):
+        for a, slot, role, b, shingles in zip(*columns, shingle_sets(_unpacked(batch.column("packed")))):
             if role == 0:
-                if fingerprint(shingles) == a:
-                    group, base = (a, slot), shingles
-            elif group == (a, slot) and fingerprint(shingles) == b:
+                group, base = (a, slot), shingles
+            elif group == (a, slot):
                 shared = len(np.intersect1d(base, shingles, assume_unique=True))
                 out.append((a, b, shared, len(base), len(shingles)))
         columns = zip(*out) if out else ((), (), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "shared", "size_a", "size_b"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _can_link(shared: str) -> Column:
+    union = F.col("size_a") + F.col("size_b") - F.col(shared)
+    return PERCENT_OF * F.col(shared) >= PERCENT * union
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Set sizes and intersection of each pair of nodes; a node with many pairs is dealt to many tasks."""
+    texts = nodes.select("node", "packed")
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("slots"))
     right = pairs.join(many, "a").select(
         "a", F.pmod(F.xxhash64("b"), F.col("slots")).alias("slot"), "b"
-    ).join(texts.withColumnRenamed("node", "b"), "b").select("a", "slot", F.lit(1).alias("role"), "b", "text")
+    ).join(texts.withColumnRenamed("node", "b"), "b").select("a", "slot", F.lit(1).alias("role"), "b", "packed")
     left = many.join(texts.withColumnRenamed("node", "a"), "a").select(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"),
-        F.lit(0).alias("role"), F.col("a").alias("b"), "text",
+        F.lit(0).alias("role"), F.col("a").alias("b"), "packed",
     )
     rows = left.unionByName(right).repartition("a", "slot").sortWithinPartitions("a", "slot", "role")
     return rows.mapInArrow(_compare, "a long, b long, shared long, size_a long, size_b long")
 
 
-def _linked(compared: DataFrame) -> DataFrame:
-    union = F.col("size_a") + F.col("size_b") - F.col("shared")
-    return compared.filter(PERCENT_OF * F.col("shared") >= PERCENT * union).select("a", "b")
-
+def _cross_pairs(candidates: DataFrame, known: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of nodes under one key that may link and aren't in one component yet.
 
-def _cross_pairs(candidates: DataFrame, stars: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of nodes under one key that may link and aren't in one component yet."""
-    distance = 1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-    known = stars.select(F.col("a").alias("center"), F.col("b").alias("node"), distance.alias("far"), F.col("size_b").alias("size"))
+    ``known`` holds the range of each node's distance to its centers.
+    """
     members = candidates.filter("node <> center").join(known, ["center", "node"])
     members = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = members.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    members = keep(members.join(mixed, "key", "left_semi").select("key", "node", "root", "far", "size"), "members")
-    x, y = (members.select("key", *[F.col(c).alias(c + e) for c in ("node", "root", "far", "size")]) for e in "xy")
+    members = keep(members.join(mixed, "key", "left_semi").select("key", "node", "root", "near", "far", "size"), "members")
+    x, y = (members.select("key", *[F.col(c).alias(c + e) for c in ("node", "root", "near", "far", "size")]) for e in "xy")
     reach = (PERCENT_OF - PERCENT) / PERCENT_OF + 1e-9
     low, high = F.least("sizex", "sizey"), F.greatest("sizex", "sizey")
     return x.join(y, "key").filter(
         (F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty"))
-        & (F.abs(F.col("farx") - F.col("fary")) <= reach) & (PERCENT_OF * low >= PERCENT * high)
+        & (F.col("nearx") - F.col("fary") <= reach) & (F.col("neary") - F.col("farx") <= reach)
+        & (PERCENT_OF * low >= PERCENT * high)
     ).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
 
 
@@ -220,18 +286,30 @@ def link(docs: DataFrame) -> DataFrame:
     top = counts.filter(F.col("times") >= FREQUENT).orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT)
     frequent = top.toPandas().sort_values(["times", "shingle"])["shingle"].to_numpy(np.int64).astype(np.uint64)
 
-    index = keep(_index(named, frequent), "index")
+    index = _index(named, frequent)
     shared = index.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other"))
     shared = shared.filter("center <> other").select("key", "center")
     candidates = keep(index.join(shared, "key").distinct(), "candidates")
     first = rows.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = keep(named.join(candidates.select("node").distinct().join(first, "node"), "doc_id").select("node", "text"), "texts")
+    wanted = candidates.select("node").distinct().join(first, "node")
+    packed = named.mapInArrow(_pack_texts, f"doc_id {kind}, packed binary")
+    nodes = packed.join(wanted, "doc_id").select("node", "packed").mapInArrow(
+        _sketch_rows, "node long, size long, sketch binary, packed binary"
+    )
+    nodes = keep(nodes.dropDuplicates(["node"]), "nodes")
 
     stars = candidates.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    stars = keep(_verify(stars, texts), "stars")
-    links = _linked(stars)
-    cross = keep(_cross_pairs(candidates, stars, components(links)), "cross")
-    links = links.union(_linked(keep(_verify(cross, texts), "crossed")))
+    stars = keep(_bounded(stars, nodes), "stars")
+    exact = keep(_verify(stars.filter(_can_link("most")), nodes), "compared")
+    links = exact.filter(_can_link("shared")).select("a", "b")
+    jaccard = lambda c: F.col(c) / (F.col("size_a") + F.col("size_b") - F.col(c))
+    known = stars.join(exact.select("a", "b", "shared"), ["a", "b"], "left").select(
+        F.col("a").alias("center"), F.col("b").alias("node"), F.col("size_b").alias("size"),
+        (1 - F.coalesce(jaccard("shared"), jaccard("most"))).alias("near"), F.coalesce(1 - jaccard("shared"), F.lit(1.0)).alias("far"),
+    )
+    cross = keep(_bounded(_cross_pairs(candidates, known, components(links)), nodes), "cross")
+    crossed = _verify(cross.filter(_can_link("most")), nodes)
+    links = links.union(crossed.filter(_can_link("shared")).select("a", "b"))
     groups = components(links)
 
     lowest = first.join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
