@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm import jaccard_join, mixing, quality_rules, suffix_dedup
+from gaugework.llm import jaccard_join, mixing, quality_rules, suffix_dedup, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,26 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.copies(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies"
     )
+
+
+TOPK_SQL = """
+WITH usable AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM (SELECT * FROM usable WHERE vec_id % 100 = 0) q JOIN usable c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 10
+"""
+
+
+@query("op4_exact_topk_search", TOPK_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk_search.whole_vectors(table(spark, folder, "embeddings"))
+    return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
