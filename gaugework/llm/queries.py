@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm import jaccard_join, mixing, quality_rules, suffix_dedup, topk_search
+from gaugework.llm import jaccard_join, mixing, quality_rules, suffix_dedup, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +72,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk_search.whole_vectors(table(spark, folder, "embeddings"))
     return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+), q AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+    array_to_string([
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)
+      FOR i IN range(0, 32)], '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY body) AS first
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM q
+"""
+
+
+@query("op2_warc", WARC_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    archives, index = warc.write(table(spark, folder, "pages"))
+    return warc.read(archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
