@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm import jaccard_join, mixing, quality_rules, suffix_dedup, topk_search, warc
+from gaugework.llm import jaccard_join, mixing, quality_rules, sentencepiece_scan, suffix_dedup, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +97,11 @@ FROM q
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     archives, index = warc.write(table(spark, folder, "pages"))
     return warc.read(archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    back = sentencepiece_scan.decode(sentencepiece_scan.encode(docs))
+    blanks = F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece_scan.MARK), F.lit(" "))
+    return back.select("doc_id", "n_tokens", (F.col("decoded") == blanks).alias("round_trip"), "ids")
