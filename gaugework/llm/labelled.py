@@ -9,9 +9,10 @@ from gaugework.operators.groups import top_per_group
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, most_per_class: int, usable: Column | None = None
+    docs: DataFrame, labels: DataFrame, label: str, most_per_class: int, usable: Column | None = None,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, text, label`` of at most ``most_per_class`` documents of label 0 and of 1.
+    """``doc_id, text, label`` and the columns ``also`` of at most ``most_per_class`` documents of label 0 and of 1.
 
     The documents with the smallest hash of their id are taken, so reruns agree.  Rows
     without id or label are left out; of several labels of an id the largest counts, of
@@ -26,10 +27,10 @@ def labelled_sample(
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     taken = top_per_group(rows, ["label"], order, most_per_class)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *also)
     return (
         texts.join(F.broadcast(taken), "doc_id")
-        .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), *[F.min(c).alias(c) for c in also])
     )
 
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm import jaccard_join, mixing, quality_rules, sentencepiece_scan, suffix_dedup, topk_search, warc
+from gaugework.llm import (
+    jaccard_join, mixing, passage_quality, quality_rules, sentencepiece_scan, suffix_dedup, topk_search, toxicity, warc,
+)
+from gaugework.llm.labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,3 +108,19 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     back = sentencepiece_scan.decode(sentencepiece_scan.encode(docs))
     blanks = F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece_scan.MARK), F.lit(" "))
     return back.select("doc_id", "n_tokens", (F.col("decoded") == blanks).alias("round_trip"), "ids")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    network = toxicity.train(docs, labels)
+    marked = docs.select("doc_id", "lang", "text", held_out(toxicity.MODULUS, toxicity.REST).alias("held_out"))
+    return toxicity.score(marked, network).select("doc_id", "held_out", "score", "predicted", "toxic")
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = passage_quality.train(docs, labels)
+    marked = docs.select("doc_id", "text", held_out(passage_quality.MODULUS, passage_quality.REST).alias("held_out"))
+    return passage_quality.score(marked, model).select("doc_id", "held_out", "score", "predicted", "passage")
