@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from gaugework.llm.components import components
 from gaugework.llm.staging import keep
 from gaugework.llm.words import LOWER, mix, row_slices, shingle_hashes, text_bytes, word_hashes
+from gaugework.operators.groups import first_per_group
 
 SIZE = 5
 #: Linked when PERCENT_OF * shared >= PERCENT * union.
@@ -319,3 +320,14 @@ def link(docs: DataFrame) -> DataFrame:
     named_rows = rows.filter("doc_id is not null and node is not null").join(lowest, "node")
     alone = rows.filter("doc_id is null or node is null").withColumn("component_id", F.col("doc_id"))
     return named_rows.unionByName(alone).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, one row per id; rows without id all stay.
+
+    Of several rows of an id the one with the smallest text stays.  All columns stay.
+    """
+    first = link(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
+    kept = first_per_group(kept, ["doc_id"], [F.col("text").asc_nulls_last()])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
