@@ -8,11 +8,9 @@ class of pairs, exceed the shingles that a linked partner may lack; two linked n
 then share a key.  Which shingles count as frequent only steers the work: any choice
 gives the same links.
 
-Candidates are verified by exact set comparison, after bucket counts have bounded what
-two sets can share.  First every node against the smallest node under its key, which
-joins large groups by one star each; then only nodes of different components under a
-key, where the distances to that smallest node leave a link possible (Jaccard distance
-obeys the triangle inequality).
+Candidates meet under the smallest node of their key and are verified there by counting
+the shingles that they share exactly.  Only links are returned, and no more than join
+what is connected.
 """
 
 from __future__ import annotations
@@ -28,14 +26,15 @@ from pyspark.sql import functions as F
 from gaugework.llm.components import components
 from gaugework.llm.staging import keep
 from gaugework.llm.words import LOWER, mix, row_slices, shingle_hashes, text_bytes, word_hashes
-from gaugework.operators.groups import first_per_group
+from gaugework.operators.groups import first_per_group, top_per_group
 
 SIZE = 5
 #: Linked when PERCENT_OF * shared >= PERCENT * union.
 PERCENT, PERCENT_OF = 80, 100
-FREQUENT = 16
+FREQUENT = 8
 MOST_FREQUENT = 1 << 20
-STAR = 512
+#: Shingles that one task holds for a comparison, and nodes that go first against all others.
+ROOM, PIVOTS = 300_000, 8
 _SLICE = 8 << 20
 
 
@@ -158,20 +157,6 @@ def _pack(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
 
-def _sketch(shingles: np.ndarray) -> bytes:
-    """Shingles per bucket, two on average; 255 stands for any more."""
-    buckets = 1 << max(5, (len(shingles) // 2).bit_length())
-    counts = np.bincount((mix(shingles) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
-
-
-def _most_shared(a: bytes, b: bytes) -> int:
-    """No fewer than the shingles that two sketched sets share."""
-    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in sorted((a, b), key=len))
-    x, y = np.where(x == 255, 1 << 40, x), np.where(y == 255, 1 << 40, y)
-    return int(np.minimum(x, y.reshape(-1, len(x)).sum(0)).sum())
-
-
 def _unpacked(column: pa.Array) -> pa.Array:
     unpack = zstandard.ZstdDecompressor()
     return pa.array([unpack.decompress(t, max_output_size=1 << 31) for t in column.to_pylist()], pa.binary())
@@ -181,90 +166,124 @@ def _few(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and sketch of each candidate; a row of the same id with another text is not the candidate."""
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size of each candidate; a row of the same id with another text is not the candidate."""
     for batch in (part for whole in batches for part in _few(whole)):
         out = [
-            (node, len(s), _sketch(s), packed)
+            (node, len(s), packed)
             for node, packed, s in zip(batch.column("node").to_pylist(), batch.column("packed").to_pylist(), shingle_sets(_unpacked(batch.column("packed"))))
             if fingerprint(s) == node
         ]
-        node, size, sketch, packed = zip(*out) if out else ((), (), (), ())
+        node, size, packed = zip(*out) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), pa.array(packed, pa.binary())],
-            ["node", "size", "sketch", "packed"],
+            [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(packed, pa.binary())], ["node", "size", "packed"]
         )
 
 
-def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        most = [_most_shared(x, y) for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
-        most = np.minimum(np.array(most, np.int64), np.minimum(batch.column("size_a"), batch.column("size_b")))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("a", "b", "size_a", "size_b")), pa.array(most, pa.int64())], ["a", "b", "size_a", "size_b", "most"]
-        )
-
+def spanning_links(x: list[tuple[int, np.ndarray]], y: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links between the named sets of ``x`` and ``y``, as many as join all that are connected.
 
-def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each pair with its set sizes and an upper bound of what they share."""
-    for end in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
-    return pairs.mapInArrow(_bound, "a long, b long, size_a long, size_b long, most long")
+    What a set shares with every set of ``y`` is counted at once, over an index of their shingles.
+    """
+    shingles = np.concatenate([s for _, s in y])
+    sizes = np.array([len(s) for _, s in y])
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], np.repeat(np.arange(len(y)), sizes)[order]
+    parent: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        while (up := parent.get(node, node)) != node:
+            parent[node] = node = parent.get(up, up)
+        return node
+
+    out = []
+    for node, own in x:
+        low = np.searchsorted(shingles, own)
+        count = np.searchsorted(shingles, own, "right") - low
+        place = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        shared = np.bincount(owner[place], minlength=len(y))
+        for k in np.flatnonzero(PERCENT_OF * shared >= PERCENT * (len(own) + sizes - shared)).tolist():
+            a, b = root(node), root(y[k][0])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((node, y[k][0]))
+    return out
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, slot, role): the set of ``a``, then each ``b`` to hold against it."""
-    group, base = None, None
+    """Rows sorted by (center, a, b): the sets of one comparison come together, and only they are held."""
+    group, x, y = None, [], []
+
+    def links() -> pa.RecordBatch:
+        found = spanning_links(x, y) if x and y else []
+        columns = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
     for batch in (part for whole in batches for part in _few(whole)):
-        out: list[tuple] = []
-        columns = [batch.column(c).to_pylist() for c in ("a", "slot", "role", "b")]
-        for a, slot, role, b, shingles in zip(*columns, shingle_sets(_unpacked(batch.column("packed")))):
-            if role == 0:
-                group, base = (a, slot), shingles
-            elif group == (a, slot):
-                shared = len(np.intersect1d(base, shingles, assume_unique=True))
-                out.append((a, b, shared, len(base), len(shingles)))
-        columns = zip(*out) if out else ((), (), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "shared", "size_a", "size_b"])
-
-
-def _can_link(shared: str) -> Column:
-    union = F.col("size_a") + F.col("size_b") - F.col(shared)
-    return PERCENT_OF * F.col(shared) >= PERCENT * union
-
-
-def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Set sizes and intersection of each pair of nodes; a node with many pairs is dealt to many tasks."""
-    texts = nodes.select("node", "packed")
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("slots"))
-    right = pairs.join(many, "a").select(
-        "a", F.pmod(F.xxhash64("b"), F.col("slots")).alias("slot"), "b"
-    ).join(texts.withColumnRenamed("node", "b"), "b").select("a", "slot", F.lit(1).alias("role"), "b", "packed")
-    left = many.join(texts.withColumnRenamed("node", "a"), "a").select(
-        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"),
-        F.lit(0).alias("role"), F.col("a").alias("b"), "packed",
-    )
-    rows = left.unionByName(right).repartition("a", "slot").sortWithinPartitions("a", "slot", "role")
-    return rows.mapInArrow(_compare, "a long, b long, shared long, size_a long, size_b long")
+        columns = [batch.column(c).to_pylist() for c in ("center", "a", "b", "role", "node")]
+        for center, a, b, role, node, shingles in zip(*columns, shingle_sets(_unpacked(batch.column("packed")))):
+            if group != (center, a, b):
+                if group:
+                    yield links()
+                group, x, y = (center, a, b), [], []
+            if role != "y":
+                x.append((node, shingles))
+            if role != "x":
+                y.append((node, shingles))
+    if group:
+        yield links()
 
 
-def _cross_pairs(candidates: DataFrame, known: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of nodes under one key that may link and aren't in one component yet.
+def _slot(parts: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(parts))
 
-    ``known`` holds the range of each node's distance to its centers.
+
+def _each(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+
+
+def _parts(members: DataFrame, name: str) -> DataFrame:
+    """Slots of at most about ROOM shingles that the members under a center need."""
+    return members.groupBy("center").agg(F.ceil(F.sum("size") / ROOM).alias(name))
+
+
+def _verified(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
+    rows = tasks.join(nodes.select("node", "packed"), "node").repartition("center", "a", "b")
+    return keep(rows.sortWithinPartitions("center", "a", "b").mapInArrow(_compare, "a long, b long"), "links")
+
+
+def _links(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links that join all linked nodes which share a key.
+
+    Nodes whose keys have one center meet under it.  Most centers have few: one task
+    compares them.  Members of a large one are dealt to slots; a few pivots go to every
+    slot, and then those that the pivots left outside the largest component go to all
+    slots, so that members already joined are not compared with each other.
     """
-    members = candidates.filter("node <> center").join(known, ["center", "node"])
-    members = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    members = keep(members.join(mixed, "key", "left_semi").select("key", "node", "root", "near", "far", "size"), "members")
-    x, y = (members.select("key", *[F.col(c).alias(c + e) for c in ("node", "root", "near", "far", "size")]) for e in "xy")
-    reach = (PERCENT_OF - PERCENT) / PERCENT_OF + 1e-9
-    low, high = F.least("sizex", "sizey"), F.greatest("sizex", "sizey")
-    return x.join(y, "key").filter(
-        (F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty"))
-        & (F.col("nearx") - F.col("fary") <= reach) & (F.col("neary") - F.col("farx") <= reach)
-        & (PERCENT_OF * low >= PERCENT * high)
-    ).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
+    members = candidates.select("center", "node").union(candidates.select("center", "center")).distinct()
+    members = members.join(nodes.select("node", "size"), "node")
+    members = keep(members.join(_parts(members, "parts"), "center"), "members")
+    slot = F.lit(0).cast("long")
+    small = members.filter("parts = 1").select("center", slot.alias("a"), slot.alias("b"), F.lit("xy").alias("role"), "node")
+    links = _verified(small, nodes)
+    large = members.filter("parts > 1")
+    if not large.limit(1).count():
+        return links
+
+    pivots = top_per_group(large, ["center"], [F.xxhash64("node")], PIVOTS)
+    tasks = pivots.select("center", slot.alias("a"), _each("parts").alias("b"), F.lit("x").alias("role"), "node").union(
+        large.select("center", slot.alias("a"), _slot("parts").alias("b"), F.lit("y").alias("role"), "node")
+    )
+    links = links.union(_verified(tasks, nodes))
+    rooted = large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = first_per_group(rooted.groupBy("center", "root").count(), ["center"], [F.desc("count"), F.col("root")])
+    outside = rooted.join(main.select("center", F.col("root").alias("main")), "center").filter("root <> main").drop("main")
+    outside = keep(outside.join(_parts(outside, "slots"), "center"), "outside")
+    slots = outside.select("center", "slots").distinct()
+    tasks = outside.select("center", _slot("slots").alias("a"), _each("parts").alias("b"), F.lit("x").alias("role"), "node").union(
+        large.join(slots, "center").select("center", _each("slots").alias("a"), _slot("parts").alias("b"), F.lit("y").alias("role"), "node")
+    )
+    return links.union(_verified(tasks, nodes))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -294,23 +313,12 @@ def link(docs: DataFrame) -> DataFrame:
     first = rows.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = candidates.select("node").distinct().join(first, "node")
     packed = named.mapInArrow(_pack_texts, f"doc_id {kind}, packed binary")
-    nodes = packed.join(wanted, "doc_id").select("node", "packed").mapInArrow(
-        _sketch_rows, "node long, size long, sketch binary, packed binary"
-    )
-    nodes = keep(nodes.dropDuplicates(["node"]), "nodes")
-
-    stars = candidates.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    stars = keep(_bounded(stars, nodes), "stars")
-    exact = keep(_verify(stars.filter(_can_link("most")), nodes), "compared")
-    links = exact.filter(_can_link("shared")).select("a", "b")
-    jaccard = lambda c: F.col(c) / (F.col("size_a") + F.col("size_b") - F.col(c))
-    known = stars.join(exact.select("a", "b", "shared"), ["a", "b"], "left").select(
-        F.col("a").alias("center"), F.col("b").alias("node"), F.col("size_b").alias("size"),
-        (1 - F.coalesce(jaccard("shared"), jaccard("most"))).alias("near"), F.coalesce(1 - jaccard("shared"), F.lit(1.0)).alias("far"),
+    # repeated rows of an id are dropped where the join has brought them together
+    nodes = packed.join(wanted, "doc_id").select("doc_id", "node", "packed").distinct().select("node", "packed").mapInArrow(
+        _candidates, "node long, size long, packed binary"
     )
-    cross = keep(_bounded(_cross_pairs(candidates, known, components(links)), nodes), "cross")
-    crossed = _verify(cross.filter(_can_link("most")), nodes)
-    links = links.union(crossed.filter(_can_link("shared")).select("a", "b"))
+    nodes = keep(nodes, "nodes")
+    links = _links(candidates, nodes)
     groups = components(links)
 
     lowest = first.join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
