@@ -39,7 +39,7 @@ GRAM, SPAN = 8, 160
 SAMPLE_DOCS, SAMPLE_KEYS = 1000, 500_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
-_FLUSH = 200_000
+_FLUSH = 50_000
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
