@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm import (
-    jaccard_join, mixing, passage_quality, quality_rules, sentencepiece_scan, suffix_dedup, topk_search, toxicity, warc,
+    jaccard_join, licence_scan, mixing, passage_quality, quality_rules, sentencepiece_scan, suffix_dedup, topk_search,
+    toxicity, warc,
 )
 from gaugework.llm.labelled import held_out
 
@@ -124,3 +125,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     model = passage_quality.train(docs, labels)
     marked = docs.select("doc_id", "text", held_out(passage_quality.MODULUS, passage_quality.REST).alias("held_out"))
     return passage_quality.score(marked, model).select("doc_id", "held_out", "score", "predicted", "passage")
+
+
+@query("op6_licence_scan", licence_scan.scan_sql())
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return licence_scan.scan(table(spark, folder, "documents"))
