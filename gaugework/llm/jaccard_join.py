@@ -4,8 +4,8 @@ A document is the set of its distinct shingles.  Equal sets are one node.  All s
 have one global order: rare ones first, then frequent ones by count.  The frequent ones
 are split into small classes; a node indexes its rare prefix shingles singly and pairs
 of frequent ones of a class.  Its prefix runs until the class sizes, less one for each
-class of pairs, exceed the shingles that a linked partner may lack; two linked nodes
-then share a key.  Which shingles count as frequent only steers the work: any choice
+class of pairs, exceed the shingles that a linked partner may lack by a quarter; two
+linked nodes then share a stated number of keys, and nodes with fewer shared keys go.  Which shingles count as frequent only steers the work: any choice
 gives the same links.
 
 Candidates meet under the smallest node of their key and are verified there by counting
@@ -60,6 +60,11 @@ def _lack(n: int) -> int:
     return n - -(-PERCENT * n // PERCENT_OF)
 
 
+def _extra(n: int) -> int:
+    """Keys that two linked sets share at least, if the smaller has ``n`` shingles."""
+    return max(1, _lack(n) // 4)
+
+
 class Signatures:
     """Index keys of a set, given the frequent shingles in ascending order of count."""
 
@@ -71,7 +76,7 @@ class Signatures:
         n = len(shingles)
         if n < 4:
             return np.zeros(0, np.uint64)  # such a set links with equal sets only
-        need = _lack(n) + 1
+        need = _lack(n) + _extra(n)
         at = np.searchsorted(self.values, shingles)
         at[at == len(self.values)] = 0
         common = self.values[at] == shingles if len(self.values) else np.zeros(n, bool)
@@ -153,7 +158,8 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-    key, node = np.concatenate(keys).astype(np.int64), np.concatenate(nodes)
+    # 40 bits travel lighter; keys that fall together only make more candidates
+    key, node = (np.concatenate(keys) >> np.uint64(24)).astype(np.int64), np.concatenate(nodes)
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
 
@@ -286,6 +292,22 @@ def _links(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.union(_verified(tasks, nodes))
 
 
+def _several(candidates: DataFrame) -> DataFrame:
+    """Rows of keys that several nodes have, with the smallest of them as ``center``."""
+    keys = candidates.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other"))
+    return candidates.select("key", "node").join(keys.filter("center <> other").select("key", "center"), "key")
+
+
+def _shared_enough(candidates: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows of nodes with as many shared keys as a linked node has at least."""
+    partner = F.floor((PERCENT * F.col("n") + PERCENT_OF - 1) / PERCENT_OF)
+    lack = partner - F.floor((PERCENT * partner + PERCENT_OF - 1) / PERCENT_OF)
+    enough = candidates.groupBy("node").count().join(first, "node").filter(
+        F.col("count") >= F.greatest(F.lit(1), F.floor(lack / 4))
+    )
+    return candidates.join(enough.select("node"), "node", "left_semi")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
@@ -306,12 +328,14 @@ def link(docs: DataFrame) -> DataFrame:
     top = counts.filter(F.col("times") >= FREQUENT).orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT)
     frequent = top.toPandas().sort_values(["times", "shingle"])["shingle"].to_numpy(np.int64).astype(np.uint64)
 
+    first = rows.filter("doc_id is not null and node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")
+    )
     index = _index(named, frequent)
-    shared = index.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other"))
-    shared = shared.filter("center <> other").select("key", "center")
-    candidates = keep(index.join(shared, "key").distinct(), "candidates")
-    first = rows.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = candidates.select("node").distinct().join(first, "node")
+    again = index.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
+    candidates = keep(index.join(again, "key").distinct(), "shared")
+    candidates = keep(_several(_shared_enough(_several(candidates), first)), "candidates")
+    wanted = keep(candidates.select("node").distinct().join(first, "node").select("doc_id", "node"), "wanted")
     packed = named.mapInArrow(_pack_texts, f"doc_id {kind}, packed binary")
     # repeated rows of an id are dropped where the join has brought them together
     nodes = packed.join(wanted, "doc_id").select("doc_id", "node", "packed").distinct().select("node", "packed").mapInArrow(
