@@ -178,12 +178,12 @@ def trace(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
     return states[::-1]
 
 
-def _group_products(group: pd.DataFrame) -> pd.DataFrame:
+def _group_products(group: pd.DataFrame, fan: int) -> pd.DataFrame:
     group = group.sort_values("no")
     out = None
     for m in _matrices(group):
         out = m if out is None else product(out, m)
-    return pd.DataFrame({"doc": group["doc"].iloc[:1], "no": group["no"].iloc[:1] // FAN, "m": [out.tobytes()]})
+    return pd.DataFrame({"doc": group["doc"].iloc[:1], "no": group["no"].iloc[:1] // fan, "m": [out.tobytes()]})
 
 
 def _matrices(group: pd.DataFrame) -> list[np.ndarray]:
@@ -199,16 +199,16 @@ def _group_states(group: pd.DataFrame) -> pd.DataFrame:
 
 def _border_states(matrices: DataFrame) -> DataFrame:
     """``doc, no, enter, leave``: up to one matrix per document and down again, FAN at a time."""
-    levels = [keep(matrices, "scan")]
+    levels, fan = [keep(matrices, "scan")], FAN
     while (levels[-1].agg(F.max("no")).first()[0] or 0) > 0:
-        parents = levels[-1].groupBy("doc", F.floor(F.col("no") / FAN).alias("parent")).applyInPandas(
-            lambda g: _group_products(g), "doc long, no long, m binary"
+        parents = levels[-1].groupBy("doc", F.floor(F.col("no") / fan).alias("parent")).applyInPandas(
+            lambda g: _group_products(g, fan), "doc long, no long, m binary"
         )
         levels.append(keep(parents, "scan"))
     states = levels[-1].select("doc", "no", F.lit(0).alias("enter"), F.lit(0).alias("leave"))
     for children in reversed(levels[:-1]):
-        joined = children.withColumn("parent", F.floor(F.col("no") / FAN)).join(states.withColumnRenamed("no", "parent"), ["doc", "parent"])
-        states = joined.groupBy("doc", "parent").applyInPandas(lambda g: _group_states(g), "doc long, no long, enter int, leave int")
+        joined = children.withColumn("parent", F.floor(F.col("no") / fan)).join(states.withColumnRenamed("no", "parent"), ["doc", "parent"])
+        states = joined.groupBy("doc", "parent").applyInPandas(_group_states, "doc long, no long, enter int, leave int")
     return states
 
 
