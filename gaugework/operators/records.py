@@ -155,18 +155,22 @@ def merge_by_precedence(*sources: DataFrame, keys: Sequence[str] = KEY) -> DataF
 def storable(
     new: DataFrame, stored: DataFrame, profile: str = "store", metrics: Sequence[Metric] = METRICS
 ) -> DataFrame:
-    """New records worth appending: believable, not yet stored, each once."""
+    """New records worth appending: believable, not yet stored, each once.
+
+    Of equal values the most confident record stays, then the first by unit and method.
+    """
     same = ["company_id", "report_id", "kpi", "report_year", "value"]
     confidence = F.coalesce("confidence", F.lit(L.DEFAULT_CONFIDENCE))
-    return (
+    fresh = (
         new.filter(F.col("value").isNotNull() & plausible(F.col("kpi"), F.col("value"), profile))
         .filter(F.col("kpi").isin(*[m.name for m in metrics]))
         .withColumn("confidence", confidence)
         .withColumn("unit", F.coalesce("unit", expected_unit(F.col("kpi"), metrics)))
         .withColumn("is_validated", confidence >= L.VALID_CONFIDENCE)
         .join(stored.select(*same), same, "left_anti")
-        .dropDuplicates(same)
     )
+    order = [F.col("confidence").desc()] + [F.col(c).asc_nulls_last() for c in ("unit", "extraction_method") if c in new.columns]
+    return first_per_group(fresh, same, order)
 
 
 def fill_revenue(reports: DataFrame, found: DataFrame) -> DataFrame:

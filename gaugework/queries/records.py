@@ -770,7 +770,10 @@ def _(spark, folder):
 @query(
     "embedding_sink",
     """SELECT vec_id AS chunk_index, (label % 2 = 0) OR (vec_id % 7 <> 0) AS is_embedded,
-          round(CAST(CASE WHEN label % 2 = 0 THEN 0 WHEN vec_id % 7 <> 0 THEN embedding[1] END AS DOUBLE), 5) AS first_value FROM embeddings""",
+          CASE WHEN label % 2 = 0 THEN 1 WHEN vec_id % 7 <> 0 THEN len(embedding) END AS dimension,
+          CASE WHEN label % 2 = 0 THEN 0 WHEN vec_id % 7 <> 0 THEN CAST(list_sum(
+            [i * CAST(round(CAST(embedding[i] AS DOUBLE) * 1000000) AS BIGINT) FOR i IN range(1, len(embedding) + 1)]) AS BIGINT) END AS weighted
+        FROM embeddings""",
 )
 def _(spark, folder):
     vectors = frame(spark, folder, "embeddings").select(
@@ -783,6 +786,8 @@ def _(spark, folder):
         F.when(F.col("label") % 2 == 0, F.array(F.lit(0.0).cast("float"))).alias("embedding"),
     )
     stored = S.apply_vectors(chunks, vectors, 64)
+    whole = F.transform("embedding", lambda x, i: (i + 1) * F.round(x.cast("double") * 1000000).cast("long"))
     return stored.select(
-        "chunk_index", "is_embedded", F.round(F.get("embedding", 0).cast("double"), 5).alias("first_value")
+        "chunk_index", "is_embedded", F.when(F.col("embedding").isNotNull(), F.size("embedding").cast("long")).alias("dimension"),
+        F.aggregate(whole, F.lit(0).cast("long"), lambda total, x: total + x).alias("weighted"),
     )

@@ -10,7 +10,7 @@ from gaugework.operators.groups import unnest
 from gaugework.queries.registry import literals, query, text
 from gaugework.queries.views import frame, sql_with
 from gaugework.rules import text as R
-from gaugework.session import cut_lineage, spread
+from gaugework.session import cut_lineage
 from gaugework.sources import landing
 from gaugework.sources import tables as S
 
@@ -102,7 +102,7 @@ def chunks(spark, folder):
 
 def stored_chunks(spark, folder):
     """The same chunks written out once, as the chunk table is before retrieval."""
-    return spread(cut_lineage(chunks(spark, folder)))
+    return cut_lineage(chunks(spark, folder))
 
 
 def documents(spark, folder):
@@ -291,13 +291,13 @@ def _(spark, folder):
          SELECT *, row_number() OVER (PARTITION BY company_id, file_hash ORDER BY report_year, path) AS rn,
            concat(report_year, '_BRSR_l_t_finance_', company_id, '_', left(file_hash, 8), '.pdf') AS file_name
          FROM (SELECT page_id % 7 AS company_id, CAST(2020 + page_id % 5 AS INT) AS report_year, url AS path,
-                 sha256(CASE WHEN page_id % 3 = 0 THEN html ELSE '%PDF-' || left(html, 40) END) AS file_hash, page_id,
-                 CAST(octet_length(encode('%PDF-' || left(html, 40))) AS BIGINT) AS file_size_bytes FROM pages)
+                 sha256(CASE WHEN page_id % 3 = 0 THEN html ELSE '%PDF-' || html END) AS file_hash, page_id,
+                 CAST(octet_length(encode('%PDF-' || html)) AS BIGINT) AS file_size_bytes FROM pages)
          WHERE page_id % 3 <> 0) WHERE rn = 1""",
 )
 def _(spark, folder):
     content = F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(
-        F.concat(F.lit("%PDF-"), F.left("html", F.lit(40)))
+        F.concat(F.lit("%PDF-"), F.col("html"))
     )
     files = frame(spark, folder, "pages").select(
         (F.col("page_id") % 7).alias("company_id"),

@@ -12,16 +12,12 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugework.rules.catalogue import METRIC_NAMES
-from gaugework.session import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# Inputs of text work, which is worth an even spread over the cores
-TEXT_HEAVY = ("documents", "lineitem", "conversations", "embeddings")
-
 
 def _case(expr: str, values, start: int = 0) -> str:
     branches = " ".join(f"WHEN {i + start} THEN {v}" for i, v in enumerate(values))
@@ -189,11 +185,7 @@ def needs(name: str) -> tuple[str, ...]:
 def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Given table or derived view as a DataFrame."""
     if name in TABLES:
-        table = spark.read.parquet(f"{folder}/{name}.parquet")
-        return spread(table) if name in TEXT_HEAVY else table
-    if name in TEXT_HEAVY:
-        parts = {n: frame(spark, folder, n) for n in needs(name)}
-        return spread(spark.sql(VIEWS[name], **parts))
+        return spark.read.parquet(f"{folder}/{name}.parquet")
     parts = {n: frame(spark, folder, n) for n in needs(name)}
     return spark.sql(VIEWS[name], **parts)
 
@@ -212,5 +204,5 @@ def sql_with(names, body: str, extra: list[tuple[str, str]] = ()) -> str:
     for n in names:
         visit(n)
     ctes = [f"{n} AS ({VIEWS[n].format(**{m: m for m in needs(n)})})" for n in ordered]
-    ctes += [f"{n} AS ({q})" for n, q in extra]
+    ctes += [f"{n} AS MATERIALIZED ({q})" for n, q in extra]
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body

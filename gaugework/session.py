@@ -43,12 +43,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores; large inputs pass through."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def small_rows(df: DataFrame, most: int, what: str) -> list:
     """Rows of a rule table for use on the driver; refuses tables above ``most`` rows."""
     rows = df.limit(most + 1).collect()

@@ -56,7 +56,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Select and cast to the declared schema; absent columns become null."""
-    schema = Ty._parse_datatype_string(SCHEMAS[name])
+    schema = Ty.StructType.fromDDL(SCHEMAS[name])
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -142,12 +142,9 @@ def upsert_catalogue(stored: DataFrame, new: DataFrame) -> DataFrame:
 def companies_to_add(wanted: DataFrame, companies: DataFrame) -> DataFrame:
     """Companies whose name is not stored yet, letter case aside, each once."""
     fold = F.lower("company_name")
-    return (
-        wanted.withColumn("_n", fold)
-        .join(companies.select(fold.alias("_n")).distinct(), "_n", "left_anti")
-        .dropDuplicates(["_n"])
-        .drop("_n")
-    )
+    fresh = wanted.withColumn("_n", fold).join(companies.select(fold.alias("_n")).distinct(), "_n", "left_anti")
+    order = [F.col(c).asc_nulls_last() for c in wanted.columns]
+    return first_per_group(fresh, ["_n"], order).drop("_n")
 
 
 def reports_to_add(found: DataFrame, reports: DataFrame) -> DataFrame:

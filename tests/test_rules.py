@@ -33,8 +33,8 @@ def test_units(spark, kpi, value, unit, expected):
 @pytest.mark.parametrize(
     "kpi, kind, content, value, confidence",
     [
-        ("complaints_filed", "text", "Employees and workers HEAR@infosys.com, GRB@infosys.com 180 19", 180.0, 0.85),
-        ("complaints_pending", "table", "Employees and workers HEAR@infosys.com, GRB@infosys.com 180 19", 19.0, 0.88),
+        ("complaints_filed", "text", "Employees and workers HEAR@example.com, GRB@example.com 180 19", 180.0, 0.85),
+        ("complaints_pending", "table", "Employees and workers HEAR@example.com, GRB@example.com 180 19", 19.0, 0.88),
         (
             "scope_3_emissions", "text",
             "Total Scope 3 emissions (Break-up of the GHG into CO2, Metric tonnes of CO2\n     1,80,737   1,83,976 (2)\nCH4, N2O) equivalent",
