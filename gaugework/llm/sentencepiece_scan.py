@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,24 @@ CHUNK, FAN = 1 << 15, 64
 _NONE = -(1 << 60)
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _UNKNOWN_PENALTY = 10
+_NO_PREFIX = object()
 _CACHE = 400_000
 
 
+class _Words(dict):
+    """Ids of words met so far; a long word is worked out each time."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.vocabulary.word(word)[1]
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 @dataclass
 class Vocabulary:
     """Pieces with whole-number scores; characters without a piece become their bytes."""
@@ -46,7 +62,9 @@ class Vocabulary:
     byte_ids: list[int]
     unknown: int
     longest: int
-    cache: dict[str, tuple[int, tuple[int, ...]]] = field(default_factory=dict)
+    #: Scores of pieces, and None for what only begins a piece.
+    table: dict[str, int | None]
+    cache: _Words | None = None
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -66,7 +84,8 @@ class Vocabulary:
                 if MARK in piece.lstrip(MARK):
                     raise ValueError(f"piece {piece!r} has a word mark inside")
         longest = max(map(len, scores))
-        return cls(scores, ids, bytes_of, byte_ids, min(scores.values()) - 1000 * _UNKNOWN_PENALTY, longest)
+        table = {piece[:n]: None for piece in scores for n in range(1, len(piece))} | scores
+        return cls(scores, ids, bytes_of, byte_ids, min(scores.values()) - 1000 * _UNKNOWN_PENALTY, longest, table)
 
     def edges(self, text: str, at: int) -> Iterator[tuple[int, int]]:
         """Ends and scores of the pieces that start at ``at``."""
@@ -81,35 +100,36 @@ class Vocabulary:
 
     def word(self, word: str) -> tuple[int, tuple[int, ...]]:
         """Score and ids of the best segmentation of one word; of equal ones, the first found."""
-        found = self.cache.get(word)
-        if found is None:
-            best, back = [0] + [_NONE] * len(word), [0] * (len(word) + 1)
-            for at in range(len(word)):
-                for end, score in self.edges(word, at):
-                    if best[at] + score > best[end]:
-                        best[end], back[end] = best[at] + score, at
-            cuts, at = [], len(word)
-            while at:
-                cuts.append((back[at], at))
-                at = back[at]
-            out: list[int] = []
-            for a, b in reversed(cuts):
-                piece = self.ids.get(word[a:b])
-                out += [piece] if piece is not None else [self.byte_ids[x] for x in word[a:b].encode()]
-            found = best[-1], tuple(out)
-            if len(word) <= 64:
-                if len(self.cache) >= _CACHE:
-                    self.cache.clear()
-                self.cache[word] = found
-        return found
+        n, table, unknown = len(word), self.table, self.unknown
+        best, back = [0] + [_NONE] * n, [0] * (n + 1)
+        for at in range(n):
+            base, end, score = best[at], at + 1, table.get(word[at], _NO_PREFIX)
+            if score is None or score is _NO_PREFIX:
+                if base + unknown > best[end]:
+                    best[end], back[end] = base + unknown, at
+            while score is not _NO_PREFIX:
+                if score is not None and base + score > best[end]:
+                    best[end], back[end] = base + score, at
+                end += 1
+                if end > n:
+                    break
+                score = table.get(word[at:end], _NO_PREFIX)
+        cuts, at = [], n
+        while at:
+            cuts.append(word[back[at] : at])
+            at = back[at]
+        out: list[int] = []
+        for piece in reversed(cuts):
+            known = self.ids.get(piece)
+            out += [known] if known is not None else [self.byte_ids[x] for x in piece.encode()]
+        return best[n], tuple(out)
 
     def encode(self, marked: str) -> list[int]:
-        out: list[int] = []
-        cache = self.cache
-        for word in _WORDS.findall(marked):
-            found = cache.get(word)
-            out.extend((found or self.word(word))[1])
-        return out
+        if self.cache is None:
+            self.cache = _Words(self)
+        elif len(self.cache) > _CACHE:
+            self.cache.clear()
+        return list(chain.from_iterable(map(self.cache.__getitem__, _WORDS.findall(marked))))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``, without the space that marks the first word; bytes that are no text become U+FFFD."""
