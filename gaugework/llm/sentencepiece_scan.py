@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.staging import keep
+from gaugework.llm.words import mix
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,6 +36,7 @@ _NONE = -(1 << 60)
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _UNKNOWN_PENALTY = 10
 _NO_PREFIX = object()
+_SPREAD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
 _CACHE = 400_000
 
 
@@ -52,6 +54,39 @@ class _Words(dict):
         return ids
 
 
+class _Index:
+    """Pieces and beginnings of pieces by hash."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        names = list(vocabulary.table)
+        values = []
+        for name in names:
+            value = 0
+            for c in name:
+                value = (value * int(_SPREAD) + ord(c) + 1) % (1 << 64)
+            values.append(value)
+        values = mix(np.array(values, np.uint64))
+        order = np.argsort(values)
+        self.values = values[order]
+        if (self.values[1:] == self.values[:-1]).any():
+            raise ValueError("two pieces have one hash")
+        self.pieces = np.array([vocabulary.ids.get(names[k], -1) for k in order], np.int32)
+        self.scores = np.array([vocabulary.scores.get(names[k], 0) for k in order], np.int64)
+        self.slots = np.searchsorted(self.values, np.arange(1 << _SLOTS, dtype=np.uint64) << np.uint64(64 - _SLOTS))
+        self.reach = int(np.diff(np.append(self.slots, len(self.values))).max())
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each value begins a piece, and the score and id of the piece it is (-1: none)."""
+        value = mix(value)
+        at = self.slots[(value >> np.uint64(64 - _SLOTS)).astype(np.int64)]
+        found = np.full(len(value), -1, np.int64)
+        for step in range(self.reach):
+            k = np.minimum(at + step, len(self.values) - 1)
+            found = np.where(self.values[k] == value, k, found)
+        hit = found >= 0
+        return hit, self.scores[found], np.where(hit, self.pieces[found], -1)
+
+
 @dataclass
 class Vocabulary:
     """Pieces with whole-number scores; characters without a piece become their bytes."""
@@ -65,6 +100,7 @@ class Vocabulary:
     #: Scores of pieces, and None for what only begins a piece.
     table: dict[str, int | None]
     cache: _Words | None = None
+    index: _Index | None = None
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -124,12 +160,73 @@ class Vocabulary:
             out += [known] if known is not None else [self.byte_ids[x] for x in piece.encode()]
         return best[n], tuple(out)
 
+    def learn(self, words: list[str]) -> None:
+        """Work out the ids of many words at once and keep them.
+
+        The same recursion as ``word``, a position of all words at a time: substrings are
+        looked up by hash among pieces and beginnings of pieces, and words whose substring
+        begins no piece drop out.
+        """
+        if self.index is None:
+            self.index = _Index(self)
+        index, size = self.index, np.array([len(w) for w in words])
+        n, longest = len(words), int(size.max())
+        codes = np.zeros((longest, n), np.uint64)
+        rows = np.repeat(np.arange(n), size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        codes[place, rows] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        best = np.full((longest + 1, n), _NONE, np.int64)
+        best[0] = 0
+        back, via = np.zeros((longest + 1, n), np.int32), np.full((longest + 1, n), -1, np.int32)
+        for at in range(longest):
+            active, value = np.flatnonzero(size > at), None
+            for end in range(at + 1, min(longest, at + self.longest) + 1):
+                active_codes = codes[end - 1, active]
+                value = active_codes + np.uint64(1) if value is None else value * _SPREAD + active_codes + np.uint64(1)
+                begins, score, piece = index.find(value)
+                if end == at + 1:
+                    lone = active[piece < 0]
+                    worse = best[at, lone] + self.unknown > best[end, lone]
+                    best[end, lone[worse]] = best[at, lone[worse]] + self.unknown
+                    back[end, lone[worse]], via[end, lone[worse]] = at, -1
+                held = piece >= 0
+                target, total = active[held], best[at, active[held]] + score[held]
+                better = total > best[end, target]
+                best[end, target[better]] = total[better]
+                back[end, target[better]], via[end, target[better]] = at, piece[held][better]
+                keep_on = begins & (size[active] > end)
+                active, value = active[keep_on], value[keep_on]
+                if not len(active):
+                    break
+        at, parts, owners = size.copy(), [], []
+        rows = np.arange(n)
+        while len(rows):
+            parts.append(via[at[rows], rows])
+            owners.append(rows)
+            at[rows] = back[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        owner, ids = np.concatenate(owners[::-1]), np.concatenate(parts[::-1])
+        order = np.argsort(owner, kind="stable")
+        ids, bounds = ids[order].tolist(), np.searchsorted(owner[order], np.arange(n + 1)).tolist()
+        unknown = set(owner[order][np.array(ids) < 0].tolist())
+        for k, word in enumerate(words):
+            self.cache[word] = self.word(word)[1] if k in unknown else tuple(ids[bounds[k] : bounds[k + 1]])
+
     def encode(self, marked: str) -> list[int]:
+        return self.encode_all([marked])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
         if self.cache is None:
             self.cache = _Words(self)
         elif len(self.cache) > _CACHE:
             self.cache.clear()
-        return list(chain.from_iterable(map(self.cache.__getitem__, _WORDS.findall(marked))))
+        split = [_WORDS.findall(t) for t in texts]
+        fresh = {w for words in split for w in words if w not in self.cache and len(w) <= 64}
+        if len(fresh) > 200:
+            fresh = sorted(fresh, key=len)
+            for i in range(0, len(fresh), 20_000):
+                self.learn(fresh[i : i + 20_000])
+        return [list(chain.from_iterable(map(self.cache.__getitem__, words))) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``, without the space that marks the first word; bytes that are no text become U+FFFD."""
@@ -251,7 +348,7 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            ids = [shared.value.encode(marked(t)) for t in batch.column("text").to_pylist()]
+            ids = shared.value.encode_all([marked(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], [*own, "ids", "n_tokens"]
             )

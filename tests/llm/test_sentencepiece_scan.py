@@ -72,3 +72,15 @@ def test_levels_of_the_scan(spark, monkeypatch, vocabulary):
 
 def test_no_rows(no_docs):
     assert scan.decode(scan.encode(no_docs)).collect() == []
+
+
+def test_words_learned_together_are_words_learned_alone():
+    together, alone = scan.Vocabulary.load(), scan.Vocabulary.load()
+    rng = random.Random(2)
+    words = ["".join(rng.choice(PIECES[:-2]).strip() or "e" for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    text = scan.marked(" ".join(words))
+    got = together.encode(text)
+    assert len(together.cache) > 200
+    assert together.decode(got) == " ".join(words)
+    for word in scan._WORDS.findall(text):
+        assert together.cache[word] == alone.word(word)[1]
