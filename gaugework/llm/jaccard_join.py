@@ -359,7 +359,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of several rows of an id the one with the smallest text stays.  All columns stay.
     """
-    first = link(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-    kept = first_per_group(kept, ["doc_id"], [F.col("text").asc_nulls_last()])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    ids = link(docs).filter("doc_id is not null").groupBy("doc_id").agg(
+        F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")
+    )
+    # stored, so that its size is known: as long as it is small, no text is shuffled
+    special = keep(ids.filter("not stays or n > 1").select("doc_id", "stays"), "special")
+    plain = docs.join(special.select("doc_id"), "doc_id", "left_anti")
+    repeated = docs.join(special.filter("stays").select("doc_id"), "doc_id", "left_semi")
+    once = first_per_group(repeated, ["doc_id"], [F.col("text").asc_nulls_last()])
+    return plain.select(*docs.columns).unionByName(once.select(*docs.columns))
