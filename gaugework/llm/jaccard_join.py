@@ -338,7 +338,8 @@ def link(docs: DataFrame) -> DataFrame:
     wanted = keep(candidates.select("node").distinct().join(first, "node").select("doc_id", "node"), "wanted")
     packed = named.mapInArrow(_pack_texts, f"doc_id {kind}, packed binary")
     # repeated rows of an id are dropped where the join has brought them together
-    nodes = packed.join(wanted, "doc_id").select("doc_id", "node", "packed").distinct().select("node", "packed").mapInArrow(
+    # (a merge join at every size, so that the plan doesn't change with the input)
+    nodes = packed.join(wanted.hint("merge"), "doc_id").select("doc_id", "node", "packed").distinct().select("node", "packed").mapInArrow(
         _candidates, "node long, size long, packed binary"
     )
     nodes = keep(nodes, "nodes")
