@@ -48,10 +48,24 @@ def passages(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         row = np.repeat(np.arange(j - i), count)
         first = rows[row] + PASSAGE * (np.arange(bags[-1]) - bags[row])
         last = np.minimum(first + PASSAGE, rows[row + 1])
-        yield _features(part, hashes, starts, ends, first, last), bags
+        yield _features(part, hashes, starts, ends, first, last, rows), bags
+
+
+def _repeated_pairs(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Per word, whether it and the word before it in its row are a pair that the row holds again."""
+    out = np.zeros(len(hashes), bool)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    at = np.flatnonzero(row[1:] == row[:-1]) + 1
+    pairs = hashes[at] * np.uint64(3) + hashes[at - 1]
+    order = np.lexsort((pairs, row[at]))
+    pairs, at, row = pairs[order], at[order], row[at][order]
+    equal = (pairs[1:] == pairs[:-1]) & (row[1:] == row[:-1])
+    out[at[1:][equal]] = True
+    out[at[:-1][equal]] = True
+    return out
 
 
-def _features(part, hashes, starts, ends, first, last) -> np.ndarray:
+def _features(part, hashes, starts, ends, first, last, rows) -> np.ndarray:
     n = (last - first).astype(float)
     out = np.zeros((len(first), FEATURES))
     if not len(first):
@@ -73,11 +87,7 @@ def _features(part, hashes, starts, ends, first, last) -> np.ndarray:
     out[:, at + 2] = (same[last] - same[np.minimum(first + 1, last)]) / n
     out[:, at + 3] = np.log1p(n)
     out[:, at + 4] = np.log1p(np.maximum.reduceat(ends - starts, first))
-    pairs = hashes[1:] * np.uint64(3) + hashes[:-1]
-    twice = np.zeros(len(hashes) + 1)
-    if len(pairs):
-        _, where, times = np.unique(pairs, return_inverse=True, return_counts=True)
-        twice[2:] = np.cumsum(np.minimum(times[where], 2) - 1)
+    twice = np.concatenate([[0], np.cumsum(_repeated_pairs(hashes, rows))])
     out[:, at + 5] = (twice[last] - twice[np.minimum(first + 1, last)]) / n
     for k in range(_SKETCH):
         signs = np.concatenate([[0.0], np.cumsum(((hashes >> np.uint64(7 * k)) & np.uint64(1)).astype(float) - 0.5)])

@@ -107,6 +107,28 @@ def test_attention_weighs_to_one(corpus):
     assert np.allclose(np.add.reduceat(a, bags[:-1][np.diff(bags) > 0]), 1)
 
 
+def test_passages_are_a_documents_own(corpus, monkeypatch):
+    column = pa.array([t for _, t, _ in corpus] + [make_text(5, 200)] * 40, pa.string())
+    alone = [next(passage_quality.passages(column[k : k + 1]))[0] for k in range(len(column))]
+    model = passage_quality.fit(alone, np.arange(len(alone)) % 2.0, epochs=1)
+    scores = np.array([model.score(x, np.array([0, len(x)]))[0] for x in alone])
+    for size, most in ((len(column), 4 << 20), (7, 4 << 20), (len(column), 3000)):
+        monkeypatch.setattr(passage_quality, "_SLICE", most)
+        together, found = [], []
+        for i in range(0, len(column), size):
+            for x, bags in passage_quality.passages(column[i : i + size]):
+                together += [x[a:b] for a, b in zip(bags, bags[1:])]
+                found.append(model.score(x, bags))
+        assert all(np.array_equal(a, b) for a, b in zip(alone, together, strict=True))
+        assert np.allclose(np.concatenate(found), scores, rtol=0, atol=1e-12)
+
+
+def test_repeated_pairs_are_counted_in_each_row():
+    texts = ["a b c a b", "a b", "b c", "x x x", "", "a b c d"]
+    x = np.concatenate([x for x, _ in passage_quality.passages(pa.array(texts))])
+    assert np.allclose(x[:, 12], [2 / 5, 0, 0, 2 / 3, 0])
+
+
 def test_sample_is_bounded_and_skips_held_out(spark, insults):
     texts, labels = insults
     rows = labelled_sample(texts, labels, "toxic", 20, ~held_out(3, 1)).join(texts.select("doc_id", held_out(3, 1).alias("out")), "doc_id").collect()
