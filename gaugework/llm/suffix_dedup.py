@@ -138,6 +138,18 @@ def _repeated(values) -> set[int]:
     return set(found[times > 1][:SAMPLE_KEYS].astype(np.uint64).tolist())
 
 
+def _hot(seen) -> tuple[set[int], set[int]]:
+    """Runs and surroundings that sampled intervals repeat, ``SAMPLE_KEYS`` of each at most.
+
+    The runs of all hot surroundings come first: an interval that goes for its hot
+    surroundings must not leave another one of its run to stand alone.
+    """
+    keys = _repeated(seen["around"])
+    runs = set(seen["key"][seen["around"].astype("uint64").isin(keys)].astype("uint64").tolist())
+    others = sorted(_repeated(seen["key"]) - runs)
+    return runs | set(others[: max(0, SAMPLE_KEYS - len(runs))]), keys
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc, spans`` for documents with repeats: where in the text ``length`` bytes repeat.
 
@@ -156,8 +168,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     sample = F.broadcast(docs.select("doc").distinct().orderBy("doc").limit(SAMPLE_DOCS))
     seen = parsed(docs.join(sample, "doc"), context.broadcast((set(), set())))
     seen = seen.orderBy("around", "doc", "start").limit(4 * SAMPLE_KEYS).toPandas()
-    keys = _repeated(seen["around"])
-    hot = context.broadcast((_repeated(seen["key"]), keys))
+    runs, keys = _hot(seen)
+    hot = context.broadcast((runs, keys))
     known = seen[seen["around"].astype("uint64").isin(keys)].drop_duplicates("around")
     known = docs.sparkSession.createDataFrame(known[["doc", "start", "stop"]], "doc long, start int, stop int")
 
