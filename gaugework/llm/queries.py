@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm import (
-    jaccard_join, licence_scan, mixing, passage_quality, quality_rules, sentencepiece_scan, suffix_dedup, topk_search,
+    jaccard_join, licence_scan, mixing, passage_quality, quality_rules, sentencepiece_scan, spelling, suffix_dedup, topk_search,
     toxicity, warc,
 )
 from gaugework.llm.labelled import held_out
@@ -130,3 +130,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_licence_scan", licence_scan.scan_sql())
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return licence_scan.scan(table(spark, folder, "documents"))
+
+
+@query("op12_spelling_variants", spelling.variants_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
