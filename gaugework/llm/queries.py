@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm import (
-    jaccard_join, licence_scan, mixing, passage_quality, quality_rules, sentencepiece_scan, spelling, suffix_dedup, topk_search,
-    toxicity, warc,
+    jaccard_join, licence_scan, mixing, passage_quality, periodic, quality_rules, sentencepiece_scan, spelling, suffix_dedup,
+    topk_search, toxicity, warc,
 )
 from gaugework.llm.labelled import held_out
 
@@ -135,3 +135,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_spelling_variants", spelling.variants_sql())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_periodic_runs", periodic.periodic_runs_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, folder, "documents"), planted=True)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.llm.checksum_sql import crc32_sql, crc_table_sql
 from gaugework.llm.staging import keep
 from gaugework.operators.groups import unnest
 
@@ -162,20 +163,14 @@ def variants(docs: DataFrame, shortest: int = SHORTEST, fewest: int = FEWEST, no
 def variants_sql(shortest: int = SHORTEST, fewest: int = FEWEST, noise: int = NOISE, ratio: int = RATIO) -> str:
     """The same groups in the SQL of a single-node engine, by words with one character taken out."""
     return f"""
-    WITH RECURSIVE crc(t) AS (
-      SELECT list(list_reduce(list_prepend(i, [x::BIGINT FOR x IN range(8)]),
-             lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i)
-      FROM (SELECT unnest(range(256))::BIGINT AS i)
+    WITH RECURSIVE crc(t) AS ({crc_table_sql()}
     ), runs AS (
       SELECT id, run, count(*) AS n FROM (
         SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
           unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{LETTERS}+')) AS run
         FROM documents) GROUP BY ALL
-    ), bytes AS (
-      SELECT run, n, list_prepend(4294967295, [('0x' || substr(hex(id || ':' || run), 2 * k + 1, 2))::BIGINT
-        FOR k IN range(0, strlen(id || ':' || run))]) AS b FROM runs
     ), hashed AS (
-      SELECT run, n, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM bytes, crc
+      SELECT run, n, {crc32_sql("id || ':' || run", "t")} AS h FROM runs, crc
     ), words AS (
       SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
         SELECT n, CASE WHEN h % {noise} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
