@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm import (
-    jaccard_join, licence_scan, mixing, passage_quality, periodic, quality_rules, sentencepiece_scan, spelling, suffix_dedup,
-    topk_search, toxicity, warc,
+    jaccard_join, licence_scan, mixing, passage_quality, periodic, quality_rules, secret_scan, sentencepiece_scan, spelling,
+    suffix_dedup, topk_search, toxicity, warc,
 )
 from gaugework.llm.labelled import held_out
 
@@ -140,3 +140,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_periodic_runs", periodic.periodic_runs_sql())
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, folder, "documents"), planted=True)
+
+
+@query("op11_secret_scan", secret_scan.scan_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"))
