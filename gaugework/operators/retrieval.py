@@ -7,6 +7,7 @@ text is joined back to the few rows that remain.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,17 +16,14 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import text as T
 from gaugework.functions.constants import constant, let, words_constant
+from gaugework.functions.masks import Terms
 from gaugework.operators.groups import top_per_group, unnest
 from gaugework.rules import relevance as R
 from gaugework.rules.catalogue import METRICS, Metric
 from gaugework.session import cut_lineage
 
-RULE_TYPE = (
-    "array<struct<kpi:string,first:array<string>,phrases:array<string>,"
-    "keywords:array<string>,must:array<string>,exclude:array<string>,"
-    "fallback:array<string>,penalty:array<string>,hints:array<string>>>"
-)
 DIGITS = 6
+_SETS = ("must", "exclude", "fallback", "penalty", "hints", "phrases")
 
 
 def _lower(terms: Sequence[str]) -> list[str]:
@@ -52,106 +50,109 @@ def _rules(metrics: Sequence[Metric]) -> list[dict]:
     return out
 
 
-def _constant(rules: list[dict]) -> Column:
-    return constant([tuple(r.values()) for r in rules], RULE_TYPE)
-
-
 def _once(items) -> list[str]:
     return list(dict.fromkeys(items))
 
 
-def chunk_features(chunks: DataFrame, rules: list[dict]) -> DataFrame:
+class RuleBook:
+    """Rules of some metrics with their terms numbered, as one constant.
+
+    ``terms`` are looked for in the text, ``first`` (first words of keywords) in the
+    keyword index.  A rule holds its sets as masks, and as lists for explanations.  A first word
+    counts once for each keyword that begins with it, so a rule has one mask of the first
+    words that occur at least once, one of those that occur twice, and so on.
+    """
+
+    def __init__(self, rules: list[dict]):
+        self.terms = Terms(t for r in rules for s in _SETS for t in r[s])
+        self.first = Terms(w for r in rules for w in r["first"])
+        masks = ", ".join(f"{s}:{self.terms.type}" for s in _SETS) + f", first:array<{self.first.type}>"
+        lists = ", ".join(f"{s}_list:array<string>" for s in ("must", "exclude", "fallback", "penalty", "keywords"))
+        rows = [
+            (
+                r["kpi"], len(r["must"]), *(self.terms.mask(r[s]) for s in _SETS), self._layers(r["first"]),
+                *(r[s] for s in ("must", "exclude", "fallback", "penalty", "keywords")),
+            )
+            for r in rules
+        ]
+        self.constant = constant(rows, f"array<struct<kpi:string, needs:int, {masks}, {lists}>>")
+
+    def _layers(self, words: list[str]) -> list[tuple[int, ...]]:
+        times = Counter(words)
+        return [self.first.mask(w for w in times if times[w] > k) for k in range(max(times.values(), default=1))]
+
+    def counted(self, rule: Column, mask: Column) -> Column:
+        """First words of a rule that are in a mask, each as often as the rule has it."""
+        return F.aggregate(rule["first"], F.lit(0), lambda n, layer: n + self.first.shared(layer, mask))
+
+
+def chunk_features(chunks: DataFrame, book: RuleBook) -> DataFrame:
     """What every metric needs to know about a chunk, worked out once per chunk."""
-    terms = _once(
-        t
-        for r in rules
-        for t in (
-            *r["must"], *r["exclude"], *r["fallback"], *r["penalty"], *r["hints"],
-            *r["phrases"],
-        )
-    )
-    first = _once(w for r in rules for w in r["first"])
-    parts = _once(
-        w[i:j] for w in first for i in range(len(w)) for j in range(i + 2, len(w) + 1)
-    )
+    terms, first = book.terms, book.first
     text = F.col("content")
-    index = F.array_join("keywords", " ")
-    shared = F.array_intersect(F.col("keywords"), words_constant(parts))
     kind = F.col("chunk_type")
     real = (T.pipe_count(text) >= R.MIN_PIPES) | (T.numeric_density(text) >= R.MIN_NUMERIC_DENSITY)
-    inside = let(index, lambda x: F.filter(words_constant(first), lambda w: F.contains(x, w)))
-    around = let(
-        shared,
-        lambda x: F.filter(words_constant(first), lambda w: F.exists(x, lambda k: F.contains(w, k))),
-    )
+    # a keyword of one letter is no part of a word
+    parts = F.filter(first.parts_of_terms(F.col("keywords")), lambda k: F.length(k) > 1)
     carried = [c for c in ("doc_id", "chunk_index", "page_number", "chunk_type") if c in chunks.columns]
+    index = F.array_join("keywords", " ")
     return chunks.select(
         *carried,
-        let(
-            F.lower("content"),
-            lambda x: F.filter(words_constant(terms), lambda t: F.contains(x, t)),
-        ).alias("_hits"),
-        inside.alias("_inside"),
-        F.array_union(inside, around).alias("_near"),
-        F.array_intersect(words_constant(first), F.col("keywords")).alias("_exact"),
+        terms.found_in(F.lower("content")).alias("_hits"),
+        first.found_in(index).alias("_inside"),
+        let(parts, lambda p: F.struct(first.containing(p).alias("around"), first.equal_to(p).alias("exact"))).alias("_words"),
         F.contains(index, F.lit("has_numbers")).alias("_indexed_number"),
         T.found(text, r"\d").alias("_digit"),
         T.found(text, R.UNIT_PRESENT, "i").alias("_unit"),
         T.found(text, R.DATA_SENTENCE, "i").alias("_data"),
         T.found(text, R.UNIT_AFTER_NUMBER, "i").alias("_unit_number"),
         F.when(kind == "table", real).otherwise(F.lit(False)).alias("_real_table"),
-        F.when(kind == "table", F.when(real, R.TABLE_FACTOR).otherwise(R.PROSE_TABLE_FACTOR))
-        .when(kind == "footnote", R.FOOTNOTE_FACTOR)
-        .otherwise(1.0)
-        .alias("_factor"),
         F.pow(F.greatest(F.coalesce("token_count", F.lit(1)), F.lit(1)), F.lit(R.LENGTH_POWER)).alias("_length"),
-    )
+    ).withColumns({
+        "_near": first.both(F.col("_inside"), F.col("_words.around")),
+        "_exact": F.col("_words.exact"),
+        "_part": first.less(first.both(F.col("_inside"), F.col("_words.around")), F.col("_words.exact")),
+        "_factor": F.when(kind == "table", F.when(F.col("_real_table"), R.TABLE_FACTOR).otherwise(R.PROSE_TABLE_FACTOR))
+        .when(kind == "footnote", R.FOOTNOTE_FACTOR)
+        .otherwise(1.0),
+    })
 
 
-def _candidate(rule: Column) -> Column:
-    return F.col("_indexed_number") | F.arrays_overlap(F.col("_inside"), rule["first"])
+def _candidate(rule: Column, book: RuleBook) -> Column:
+    return F.col("_indexed_number") | book.first.meet(F.col("_inside"), F.get(rule["first"], F.lit(0)))
 
 
-def _strict(rule: Column, strict_exclude: bool) -> Column:
-    clean = ~F.arrays_overlap(rule["exclude"], F.col("_hits"))
-    needed = F.arrays_overlap(rule["must"], F.col("_hits"))
+def _strict(rule: Column, book: RuleBook, strict_exclude: bool) -> Column:
+    clean = ~book.terms.meet(rule["exclude"], F.col("_hits"))
+    needed = book.terms.meet(rule["must"], F.col("_hits"))
     if strict_exclude:
         needed = needed & clean
-    return F.when(F.size(rule["must"]) > 0, needed).otherwise(clean)
+    return F.when(rule["needs"] > 0, needed).otherwise(clean)
 
 
-def _fallback(rule: Column) -> Column:
-    return F.arrays_overlap(rule["fallback"], F.col("_hits")) & F.col("_unit_number")
+def _fallback(rule: Column, book: RuleBook) -> Column:
+    return book.terms.meet(rule["fallback"], F.col("_hits")) & F.col("_unit_number")
 
 
-def _judge(rule: Column, strict_exclude: bool, full: bool = True) -> Column:
+def _judge(rule: Column, book: RuleBook, strict_exclude: bool, full: bool = True) -> Column:
     """Score, and if asked for its breakdown, of the current chunk for one metric."""
-    hits, exact = F.col("_hits"), F.col("_exact")
-    near = F.col("_near")
-    word = F.aggregate(
-        rule["first"],
-        F.lit(0.0),
-        lambda total, w: total
-        + F.when(F.array_contains(exact, w), F.lit(R.EXACT_WORD))
-        .when(F.array_contains(near, w), F.lit(R.PART_WORD))
-        .otherwise(F.lit(0.0)),
+    hits, terms = F.col("_hits"), book.terms
+    word = (
+        book.counted(rule, F.col("_exact")) * F.lit(R.EXACT_WORD) + book.counted(rule, F.col("_part")) * F.lit(R.PART_WORD)
     ) / F.col("_length")
-    phrase = F.size(
-        F.filter(rule["phrases"], lambda p: F.array_contains(hits, p))
-    ) * F.lit(R.PHRASE_BONUS)
-    unit = F.when(F.arrays_overlap(rule["hints"], hits), R.UNIT_BONUS).otherwise(0.0)
+    phrase = terms.shared(rule["phrases"], hits) * F.lit(R.PHRASE_BONUS)
+    unit = F.when(terms.meet(rule["hints"], hits), R.UNIT_BONUS).otherwise(0.0)
     numeric = F.when(F.col("_digit"), R.NUMERIC_BONUS).otherwise(0.0)
     data = F.when(F.col("_data"), R.DATA_BONUS).otherwise(0.0)
-    named = F.arrays_overlap(rule["must"], hits)
+    named = terms.meet(rule["must"], hits)
     answerable = named & F.col("_digit") & F.col("_unit")
     answer = F.when(answerable, R.ANSWER_BONUS).otherwise(0.0)
     base = (word + phrase + unit + numeric + data + answer) * F.col("_factor")
     no_number = F.when(F.col("_digit"), 0.0).otherwise(R.NO_NUMBER_PENALTY)
     no_unit = F.when(named & ~F.col("_unit"), R.NO_UNIT_PENALTY).otherwise(0.0)
-    penalties = F.array_intersect(rule["penalty"], hits)
-    penalty = F.size(penalties) * F.lit(R.TERM_PENALTY)
+    penalty = terms.shared(rule["penalty"], hits) * F.lit(R.TERM_PENALTY)
     tier = (
-        F.when(_strict(rule, strict_exclude), 0).when(_fallback(rule), 1).otherwise(2)
+        F.when(_strict(rule, book, strict_exclude), 0).when(_fallback(rule, book), 1).otherwise(2)
     )
     score = F.greatest(F.lit(0.0), base - no_number - no_unit - penalty)
     verdict = (rule["kpi"].alias("kpi"), tier.alias("tier"), score.alias("score"))
@@ -165,15 +166,22 @@ def _judge(rule: Column, strict_exclude: bool, full: bool = True) -> Column:
             answerable.alias("answerable"), F.col("_factor").alias("type_mult"),
             F.col("_real_table").alias("is_real_table"),
             no_number.alias("no_numeric_pen"), no_unit.alias("no_unit_pen"),
-            penalty.alias("penalty"), penalties.alias("penalty_hits"),
+            penalty.alias("penalty"), F.array_intersect(rule["penalty_list"], F.col("_hit_list")).alias("penalty_hits"),
             F.filter(
-                rule["keywords"],
-                lambda k: F.array_contains(near, F.substring_index(F.lower(k), " ", 1)),
+                rule["keywords_list"],
+                lambda k: F.array_contains(F.col("_near_list"), F.substring_index(F.lower(k), " ", 1)),
             ).alias("matched_kws"),
         ).alias("breakdown"),
     )
 
 
+def _with_lists(features: DataFrame, book: RuleBook) -> DataFrame:
+    """Terms found by name, for explanations."""
+    return features.withColumns({
+        "_hit_list": book.terms.listed(F.col("_hits")), "_near_list": book.first.listed(F.col("_near")),
+    })
+
+
 def judge_chunks(
     chunks: DataFrame, metrics: Sequence[Metric] = METRICS, strict_exclude: bool = False, full: bool = True
 ) -> DataFrame:
@@ -181,44 +189,47 @@ def judge_chunks(
 
     Tier 0 passes the strict gate, tier 1 only the unit fallback, tier 2 neither.
     """
-    rules = [r for r in _rules(metrics) if r["first"]]
-    features = chunk_features(chunks, rules)
+    book = RuleBook([r for r in _rules(metrics) if r["first"]])
+    features = chunk_features(chunks, book)
+    if full:
+        features = _with_lists(features, book)
     judged = F.transform(
-        F.filter(_constant(rules), _candidate), lambda r: _judge(r, strict_exclude, full)
+        F.filter(book.constant, lambda r: _candidate(r, book)), lambda r: _judge(r, book, strict_exclude, full)
     )
     return unnest(
         features, judged, "_j", "doc_id", "chunk_index", "page_number", "chunk_type"
     ).select("doc_id", "chunk_index", "page_number", "chunk_type", "_j.*")
 
 
-def relevance(chunks: DataFrame, metrics: Sequence[Metric] = METRICS) -> DataFrame:
-    """Strict and fallback gate per (chunk, metric), with the reason as text."""
-    rules = _rules(metrics)
+def relevance(chunks: DataFrame, metrics: Sequence[Metric] = METRICS, reasons: bool = True) -> DataFrame:
+    """Strict and fallback gate per (chunk, metric), with the reason as text if asked for."""
+    book = RuleBook(_rules(metrics))
 
     def verdict(rule: Column) -> Column:
-        hits = F.col("_hits")
-        must = F.get(F.filter(rule["must"], lambda t: F.array_contains(hits, t)), 0)
-        bad = F.get(F.filter(rule["exclude"], lambda t: F.array_contains(hits, t)), 0)
-        unit = F.get(F.filter(rule["fallback"], lambda t: F.array_contains(hits, t)), 0)
-        asked = F.size(rule["must"]) > 0
+        gates = (rule["kpi"].alias("kpi"), _strict(rule, book, False).alias("relevant"), _fallback(rule, book).alias("fallback"))
+        if not reasons:
+            return F.struct(*gates)
+        hits = F.col("_hit_list")
+        must = F.get(F.filter(rule["must_list"], lambda t: F.array_contains(hits, t)), 0)
+        bad = F.get(F.filter(rule["exclude_list"], lambda t: F.array_contains(hits, t)), 0)
+        unit = F.get(F.filter(rule["fallback_list"], lambda t: F.array_contains(hits, t)), 0)
+        asked = rule["needs"] > 0
         return F.struct(
-            rule["kpi"].alias("kpi"),
-            _strict(rule, False).alias("relevant"),
+            *gates,
             F.when(asked & must.isNull(), F.lit("no must_match term found"))
             .when(asked, F.concat(F.lit("must_match: '"), must, F.lit("'")))
             .when(bad.isNotNull(), F.concat(F.lit("must_exclude hit: '"), bad, F.lit("'")))
             .otherwise(F.lit("ok"))
             .alias("reason"),
-            _fallback(rule).alias("fallback"),
             F.when(
-                _fallback(rule), F.concat(F.lit("unit_fallback hit: '"), unit, F.lit("'"))
+                _fallback(rule, book), F.concat(F.lit("unit_fallback hit: '"), unit, F.lit("'"))
             ).otherwise(F.lit("unit_fallback: no unit+number pattern")).alias("fallback_reason"),
         )
 
-    verdicts = F.transform(_constant(rules), verdict)
-    return unnest(
-        chunk_features(chunks, rules), verdicts, "_v", "doc_id", "chunk_index"
-    ).select("doc_id", "chunk_index", "_v.*")
+    features = chunk_features(chunks, book)
+    if reasons:
+        features = _with_lists(features, book)
+    return unnest(features, F.transform(book.constant, verdict), "_v", "doc_id", "chunk_index").select("doc_id", "chunk_index", "_v.*")
 
 
 def _by_score() -> list[Column]:
@@ -374,11 +385,11 @@ def search(
     found = chunks.filter(wanted)
     if chunk_types:
         found = found.filter(F.col("chunk_type").isin(*chunk_types))
-    rules = _rules([asked])
+    book = RuleBook(_rules([asked]))
     judged = (
         unnest(
-            chunk_features(found, rules),
-            F.transform(_constant(rules), lambda r: _judge(r, False, full=False)),
+            chunk_features(found, book),
+            F.transform(book.constant, lambda r: _judge(r, book, False, full=False)),
             "_j", "doc_id", "chunk_index", "page_number",
         )
         .select("doc_id", "chunk_index", "page_number", "_j.score")
@@ -419,19 +430,12 @@ def wider(
         for m in metrics
         if m.keywords or m.aliases
     ]
-    words = _once(w for r in rules for w in r[1])
-    index = F.array_join("keywords", " ")
-    kpis = F.transform(
-        F.filter(
-            constant(rules, "array<struct<kpi:string,first:array<string>>>"),
-            lambda r: F.arrays_overlap(r["first"], F.col("_in")),
-        ),
-        lambda r: r["kpi"],
-    )
+    words = Terms(w for r in rules for w in r[1])
+    offers = constant([(name, words.mask(first)) for name, first in rules], f"array<struct<kpi:string,first:{words.type}>>")
     seen = chunks.select(
-        "doc_id", "chunk_index", "page_number", "chunk_type",
-        let(index, lambda x: F.filter(words_constant(words), lambda w: F.contains(x, w))).alias("_in"),
+        "doc_id", "chunk_index", "page_number", "chunk_type", words.found_in(F.array_join("keywords", " ")).alias("_in")
     )
+    kpis = F.transform(F.filter(offers, lambda r: words.meet(r["first"], F.col("_in"))), lambda r: r["kpi"])
     offered = unnest(seen, kpis, "kpi", "doc_id", "chunk_index", "page_number", "chunk_type")
     fresh = offered.join(found, ["doc_id", "kpi", "chunk_index"], "left_anti")
     order = [
