@@ -242,10 +242,9 @@ def _(spark, folder):
 
 @query(
     "active_metrics",
-    sql_with([], """SELECT c.category, c.name, c.expected_unit, c.valid_min, c.valid_max, c.n_patterns::INT AS patterns,
+    sql_with(["kpi_records"], """SELECT c.category, c.name, c.expected_unit, c.valid_min, c.valid_max, c.n_patterns::INT AS patterns,
         c.n_keywords::INT AS keywords, count(k.record_id) AS records
-        FROM catalogue c LEFT JOIN kpi_records k ON k.kpi = c.name GROUP BY ALL""",
-             [("x", "SELECT 1")]).replace("WITH x AS (SELECT 1)", sql_with(["kpi_records"], "", [CATALOGUE])),
+        FROM catalogue c LEFT JOIN kpi_records k ON k.kpi = c.name GROUP BY ALL""", [CATALOGUE]),
 )
 def _(spark, folder):
     used = frame(spark, folder, "kpi_records").groupBy(F.col("kpi").alias("name")).agg(F.count("*").alias("records"))
