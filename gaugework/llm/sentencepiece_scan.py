@@ -17,17 +17,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.staging import keep
-from gaugework.llm.words import mix
+from gaugework.llm.words import mix, row_slices
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,15 +40,19 @@ _SPREAD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
 _CACHE = 400_000
 
 
+def _packed(ids: tuple[int, ...]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class _Words(dict):
-    """Ids of words met so far; a long word is worked out each time."""
+    """Ids of words met so far, as bytes of 32-bit numbers; a long word is worked out each time."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.vocabulary.word(word)[1]
+    def __missing__(self, word: str) -> bytes:
+        ids = _packed(self.vocabulary.word(word)[1])
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -99,8 +103,10 @@ class Vocabulary:
     longest: int
     #: Scores of pieces, and None for what only begins a piece.
     table: dict[str, int | None]
-    cache: _Words | None = None
+    packed: _Words | None = None
     index: _Index | None = None
+    #: Bytes of all pieces, where each begins, and its length.
+    pool: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -207,31 +213,49 @@ class Vocabulary:
             rows = rows[at[rows] > 0]
         owner, ids = np.concatenate(owners[::-1]), np.concatenate(parts[::-1])
         order = np.argsort(owner, kind="stable")
-        ids, bounds = ids[order].tolist(), np.searchsorted(owner[order], np.arange(n + 1)).tolist()
-        unknown = set(owner[order][np.array(ids) < 0].tolist())
+        ids, bounds = ids[order], (4 * np.searchsorted(owner[order], np.arange(n + 1))).tolist()
+        unknown, data = set(owner[order][ids < 0].tolist()), ids.astype(np.int32).tobytes()
         for k, word in enumerate(words):
-            self.cache[word] = self.word(word)[1] if k in unknown else tuple(ids[bounds[k] : bounds[k + 1]])
+            self.packed[word] = _packed(self.word(word)[1]) if k in unknown else data[bounds[k] : bounds[k + 1]]
 
-    def encode(self, marked: str) -> list[int]:
-        return self.encode_all([marked])[0]
+    @property
+    def cache(self) -> dict[str, tuple[int, ...]]:
+        """Words met so far and their ids."""
+        return {w: tuple(np.frombuffer(b, np.int32).tolist()) for w, b in (self.packed or {}).items()}
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        if self.cache is None:
-            self.cache = _Words(self)
-        elif len(self.cache) > _CACHE:
-            self.cache.clear()
+    def encode(self, marked: str) -> list[int]:
+        return self.encode_all([marked])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; words are looked up, ids are never numbers of Python."""
+        if self.packed is None:
+            self.packed = _Words(self)
+        elif len(self.packed) > _CACHE:
+            self.packed.clear()
         split = [_WORDS.findall(t) for t in texts]
-        fresh = {w for words in split for w in words if w not in self.cache and len(w) <= 64}
+        fresh = {w for words in split for w in words if w not in self.packed and len(w) <= 64}
         if len(fresh) > 200:
             fresh = sorted(fresh, key=len)
             for i in range(0, len(fresh), 20_000):
                 self.learn(fresh[i : i + 20_000])
-        return [list(chain.from_iterable(map(self.cache.__getitem__, words))) for words in split]
+        return [np.frombuffer(b"".join(map(self.packed.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``, without the space that marks the first word; bytes that are no text become U+FFFD."""
-        data = b"".join([self.bytes_of[i] for i in ids])
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Texts of several lists of ids that stand in one array; their bytes are gathered at once."""
+        if self.pool is None:
+            sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+            self.pool = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(sizes) - sizes, sizes
+        pool, starts, sizes = self.pool
+        size = sizes[ids]
+        to = np.concatenate([[0], np.cumsum(size)])
+        data = pool[np.arange(to[-1]) + np.repeat(starts[ids] - to[:-1], size)].tobytes()
+        cuts = to[bounds].tolist()
+        texts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return [(t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") for t in texts]
 
 
 def marked(text: str | None) -> str:
@@ -349,9 +373,10 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             ids = shared.value.encode_all([marked(t) for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], [*own, "ids", "n_tokens"]
-            )
+            sizes = np.array([len(x) for x in ids], np.int64)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes)], [*own, "ids", "n_tokens"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = shared.value.longest - 1
@@ -399,7 +424,13 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            texts = [shared.value.decode(i or []) for i in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            texts = []
+            for i, j in row_slices(bounds, 1 << 18):
+                ids = lists.slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
+                texts += shared.value.decode_all(ids, bounds[i : j + 1] - bounds[i])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*own, "decoded"])
 
     return rows.mapInArrow(run, f"{fields}, decoded string")
