@@ -35,7 +35,7 @@ FREQUENT = 8
 MOST_FREQUENT = 1 << 20
 #: Shingles that one task holds for a comparison, and nodes that go first against all others.
 ROOM, PIVOTS = 300_000, 8
-_SLICE = 8 << 20
+_SLICE, _HELD = 1 << 20, 100_000
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -106,26 +106,24 @@ class Signatures:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and one per shingle that several documents of the batch have."""
+    """A row per document, and one per shingle that several documents of a slice have."""
     for batch in batches:
-        sets = list(shingle_sets(batch.column("text")))
-        if not sets:
-            continue
-        ids = batch.column("doc_id")
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()),
-             pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())],
-            ["doc_id", "n_shingles", "node", "shingle", "times"],
-        )
-        shingles, times = np.unique(np.concatenate(sets), return_counts=True)
-        shingles, times = shingles[times > 1], times[times > 1]
-        n = len(shingles)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, ids.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-             pa.array(shingles.astype(np.int64)), pa.array(times.astype(np.int64))],
-            ["doc_id", "n_shingles", "node", "shingle", "times"],
-        )
+        for i, j in row_slices(text_bytes(batch.column("text"))[1], 4 * _SLICE):
+            sets = list(shingle_sets(batch.column("text").slice(i, j - i)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())],
+                ["doc_id", "n_shingles", "node", "shingle", "times"],
+            )
+            shingles, times = np.unique(np.concatenate(sets), return_counts=True)
+            shingles, times = shingles[times > 1], times[times > 1]
+            n = len(shingles)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, batch.column("doc_id").type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                 pa.array(shingles.astype(np.int64)), pa.array(times.astype(np.int64))],
+                ["doc_id", "n_shingles", "node", "shingle", "times"],
+            )
 
 
 def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -137,10 +135,10 @@ def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             keys, nodes, held = [], [], 0
             for shingles in shingle_sets(batch.column("text")):
                 own = signatures.keys(shingles)
-                keys.append(own)
+                keys.append(_short(own))
                 nodes.append(np.full(len(own), fingerprint(shingles), np.int64))
                 held += len(own)
-                if held > 500_000:
+                if held > _HELD:
                     yield _pack(keys, nodes)
                     keys, nodes, held = [], [], 0
             if held:
@@ -157,10 +155,19 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The 40 leading bits of the keys of one set, which travel lighter.
+
+    Keys that fall together are told apart by their number among their like.  A partner
+    that shares so many of them has as many, so a set never counts fewer shared keys than
+    it has; keys of different sets that fall together only make more candidates.
+    """
+    short = np.sort(keys >> np.uint64(24)).astype(np.int64)
+    return short | ((np.arange(len(short)) - np.searchsorted(short, short)) << 40)
+
+
 def _pack(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-    # 40 bits travel lighter; keys that fall together only make more candidates
-    key, node = (np.concatenate(keys) >> np.uint64(24)).astype(np.int64), np.concatenate(nodes)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
 
 def _unpacked(column: pa.Array) -> pa.Array:

@@ -25,7 +25,7 @@ def test_stages_chain(spark):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
