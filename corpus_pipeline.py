@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from gaugework.llm import jaccard_join, mixing, quality_rules, sentencepiece_scan, suffix_dedup
 from gaugework.llm.staging import keep
 
+#: A passage of some fifty words; a string of so many bytes that starts twice goes.
+PASSAGE_BYTES = 200
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -27,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that start twice in what is left go; so do documents left without text."""
-    cut = suffix_dedup.remove_repeats(docs, text_out=True)
+    """Strings of PASSAGE_BYTES that start twice in what is left go; so do documents left without text."""
+    cut = suffix_dedup.remove_repeats(docs, text_out=True, length=PASSAGE_BYTES)
     cut = cut.filter((F.col("n_removed") == 0) | (F.length("text") > 0))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
