@@ -173,6 +173,15 @@ def storable(
     return first_per_group(fresh, same, order)
 
 
+def found_of_requested(values: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """How many of the requested metrics have a value, per key, with the summary text."""
+    found = F.count_distinct(F.when(F.col("value").isNotNull() & F.col("kpi").isin(*names), F.col("kpi")))
+    return values.groupBy(*keys).agg(found.alias("found")).select(
+        *keys, "found", F.lit(len(names)).alias("requested"),
+        F.concat(F.col("found").cast("string"), F.lit(f"/{len(names)}")).alias("summary"),
+    )
+
+
 def fill_revenue(reports: DataFrame, found: DataFrame) -> DataFrame:
     """Write value, unit and source together, only where a report has no revenue."""
     new = found.select(

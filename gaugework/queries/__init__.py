@@ -5,7 +5,7 @@ from gaugework.queries.registry import ORACLE, QUERIES
 
 def _load() -> None:
     from gaugework.queries import (  # noqa: F401
-        composite, discovery, extraction, records, retrieval, text, vectors,
+        composite, discovery, extraction, records, retrieval, stores, text, vectors,
     )
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from gaugework.functions import text as T
-from gaugework.operators.groups import first_per_group
+from gaugework.operators.groups import first_per_group, top_per_group
 from gaugework.rules.catalogue import METRICS, Metric
 from gaugework.session import small_rows
 
@@ -65,29 +65,6 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def append_records(records: DataFrame, root: str) -> None:
-    """Append to the record log, laid out by year."""
-    conform(records, "kpi_records").write.mode("append").partitionBy("report_year").parquet(
-        f"{root}/kpi_records"
-    )
-
-
-def overwrite_parse(chunks: DataFrame, root: str, version: str, buckets: int = 64) -> None:
-    """Replace the stored chunks of one parser version, for the buckets in ``chunks``.
-
-    Only partitions that receive rows are rewritten; ``chunks`` therefore holds all
-    documents of each bucket it touches.
-    """
-    (
-        chunks.withColumn("parser_version", F.lit(version))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("parser_version", "bucket")
-        .parquet(f"{root}/document_chunks")
-    )
-
-
 def replace_parse(stored: DataFrame, new: DataFrame, keys: Sequence[str] = ("report_id", "parser_version")) -> DataFrame:
     """Stored rows with the (report, version) entries of ``new`` replaced."""
     return stored.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
@@ -200,15 +177,30 @@ def list_parses(parsed: DataFrame, reports: DataFrame, companies: DataFrame) ->
     )
 
 
-def list_chunks(chunks: DataFrame, kind: str | None = None, chars: int = 80) -> DataFrame:
-    """Chunk listing with a short preview on one line."""
+def list_chunks(chunks: DataFrame, kind: str | None = None, chars: int = 80, limit: int | None = None) -> DataFrame:
+    """Chunk listing with a short preview on one line, the first ``limit`` of each document if given."""
     kept = chunks.filter(F.col("chunk_type") == kind) if kind else chunks
+    if limit is not None:
+        kept = top_per_group(kept, ["doc_id"], [F.col("chunk_index")], limit)
     return kept.select(
         "doc_id", "chunk_index", "chunk_type", "page_number", "token_count",
         T.preview(F.col("content"), chars).alias("preview"),
     )
 
 
+def records_of_report(records: DataFrame, report_id: object | None = None, limit: int | None = None) -> DataFrame:
+    """Records newest first: of one report, or of every report one after the other."""
+    kept = records if report_id is None else records.filter(F.col("report_id") == report_id)
+    ordered = kept.orderBy("report_id", F.col("extracted_at").desc(), "record_id")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def listed(rows: DataFrame, order: Sequence[Column | str], limit: int | None = None) -> DataFrame:
+    """A listing in its order, cut to a display limit if one is given; every task then sends at most that many rows."""
+    ordered = rows.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def list_records(records: DataFrame, definitions: DataFrame, companies: DataFrame) -> DataFrame:
     """Records with metric and company names; the unit falls back to the expected one."""
     defs = definitions.select(

@@ -4,12 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gaugework.queries import all_sql
 from gaugework.queries.views import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = [
     "best_record_per_kpi", "normalize_units", "compare_companies", "rank_percentile", "merge_label_value",
-    "keyword_index", "revenue_pick", "discovery_filter", "multi_query_search",
+    "keyword_index", "revenue_pick", "discovery_filter", "multi_query_search", "active_metrics", "metrics_by_name",
+    "landed_files", "found_of_requested", "hybrid_retrieval", "record_log", "parse_cache",
 ]
 
 
@@ -32,5 +34,12 @@ def test_query_equals_sql(spark, sql, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", sorted(all_sql()))
+def test_every_sql_runs(sql, name):
+    """Each query's SQL names tables and columns that are there."""
+    names = [d[0] for d in sql.execute(all_sql()[name]).description]
+    assert len(names) == len(set(names))
+
+
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
