@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from gaugework.llm.staging import keep
 
 LENGTH = 400
-#: Bytes of a trigger, and windows among which it is the least.
-GRAM, SPAN = 8, 160
+#: Bytes of a trigger, and windows among which it is the least: two fifths of a string, so
+#: that a string of any length owns a few triggers and its run is long enough to be rare.
+GRAM, SPAN = 8, LENGTH * 2 // 5
 SAMPLE_DOCS, SAMPLE_KEYS = 1000, 500_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -52,6 +53,11 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
+def span_of(length: int) -> int:
+    """Windows among which a trigger is the least, for strings of ``length``."""
+    return max(1, length * 2 // 5)
+
+
 def intervals(text: bytes, length: int = LENGTH, span: int = SPAN) -> tuple[np.ndarray, ...]:
     """Intervals ``[start, stop)`` of string starts with one run, and each run's bounds."""
     strings = len(text) - length + 1
@@ -104,7 +110,7 @@ def _parse(hot_runs: set[int], hot_keys: set[int], length: int):
         digest = xxhash.xxh3_64_intdigest
         for name, text in docs:
             known: list[tuple[int, int]] = []
-            for a, b, x, y in zip(*(c.tolist() for c in intervals(text, length))):
+            for a, b, x, y in zip(*(c.tolist() for c in intervals(text, length, span_of(length)))):
                 run = digest(text[x:y])
                 whole = digest(text[a : b + length - 1], (x - a) ^ run)
                 if whole in hot_keys:
