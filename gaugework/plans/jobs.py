@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,10 @@ from gaugework.operators import records as R
 from gaugework.operators import retrieval as V
 from gaugework.operators import revenue as N
 from gaugework.rules import limits as L
+from gaugework.rules import relevance as RV
 from gaugework.rules.catalogue import METRICS, Metric
+from gaugework.session import cut_lineage
+from gaugework.sources import store
 from gaugework.sources import tables as S
 
 
@@ -42,21 +45,35 @@ def extract_metrics(
     on patterns that are not sure.
     """
     found = V.retrieve(chunks, metrics) if found is None else found
-    winners = X.cascade(V.attach_text(found, chunks), metrics).select(
-        "doc_id", "kpi", "raw_value", "value", "unit", "confidence", "extraction_method", "chunk_index"
+    return _with_total(_settled(pattern_values(chunks, found, metrics), modelled), metrics)
+
+
+_VALUES = ("doc_id", "kpi", "raw_value", "value", "unit", "confidence", "extraction_method", "chunk_index")
+
+
+def pattern_values(chunks: DataFrame, found: DataFrame, metrics: Sequence[Metric] = METRICS) -> DataFrame:
+    """The value that patterns find per (document, metric) in the chunks retrieved."""
+    return X.cascade(V.attach_text(found, chunks), metrics).select(*_VALUES)
+
+
+def _settled(winners: DataFrame, modelled: DataFrame | None) -> DataFrame:
+    """Pattern values, improved by more confident model values where patterns are not sure."""
+    if modelled is None:
+        return winners
+    offered = modelled.select(
+        "doc_id", "kpi", "raw_value", "value", "unit", "confidence",
+        F.lit("llm").alias("extraction_method"),
+        F.lit(None).cast("long").alias("chunk_index"),
     )
-    if modelled is not None:
-        offered = modelled.select(
-            "doc_id", "kpi", "raw_value", "value", "unit", "confidence",
-            F.lit("llm").alias("extraction_method"),
-            F.lit(None).cast("long").alias("chunk_index"),
-        )
-        sure = F.col("confidence") >= L.ACCEPT_PATTERN_CONFIDENCE
-        both = winners.withColumn("_side", F.lit(0)).unionByName(offered.withColumn("_side", F.lit(1)))
-        order = [
-            ((F.col("_side") == 0) & sure).desc(), F.col("confidence").desc(), F.col("_side"),
-        ]
-        winners = R.first_per_group(both, ["doc_id", "kpi"], order).drop("_side")
+    sure = F.col("confidence") >= L.ACCEPT_PATTERN_CONFIDENCE
+    both = winners.withColumn("_side", F.lit(0)).unionByName(offered.withColumn("_side", F.lit(1)))
+    order = [
+        ((F.col("_side") == 0) & sure).desc(), F.col("confidence").desc(), F.col("_side"),
+    ]
+    return R.first_per_group(both, ["doc_id", "kpi"], order).drop("_side")
+
+
+def _with_total(winners: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
     checked = X.validate(winners, metrics)
     derived = X.derive_total(checked, ["doc_id"])
     return checked.unionByName(
@@ -67,6 +84,51 @@ def extract_metrics(
     )
 
 
+def second_pass(chunks: DataFrame, found: DataFrame, winners: DataFrame, metrics: Sequence[Metric] = METRICS) -> DataFrame:
+    """Context for a model per (document, metric) that patterns have not settled.
+
+    The work list is what was retrieved for, less the pairs whose value is sure.  Its
+    retrieved chunks come first, then up to five further ones by keyword or alias, which
+    are looked for in the documents of the work list only.  Without text until the end.
+    """
+    key = ["doc_id", "kpi"]
+    sure = winners.filter(F.col("confidence") >= L.ACCEPT_PATTERN_CONFIDENCE).select(*key)
+    row = [*key, "chunk_index", "page_number", "position", "is_neighbor"]
+    first = found.join(sure, key, "left_anti").select(*row)
+    documents = first.select("doc_id").distinct()
+    wide = V.wider(chunks.join(documents, "doc_id", "left_semi"), found, metrics).join(first.select(*key).distinct(), key, "left_semi")
+    wide = wide.withColumn("position", F.col("position") + 2 * RV.MAX_K).select(*row)
+    return X.context_blocks(V.attach_text(first.unionByName(wide), chunks))
+
+
+def extract_and_store(
+    chunks: DataFrame,
+    reports: DataFrame,
+    root: str,
+    run: str,
+    metrics: Sequence[Metric] = METRICS,
+    found: DataFrame | None = None,
+    model: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Extract all metrics of all documents and append the values to the record log at ``root``.
+
+    ``model`` gets the contexts of the second pass and returns values as ``modelled`` of
+    :func:`extract_metrics`; pairs that patterns are sure of never reach it.  Retrieval and
+    pattern values are written once, as both passes read them.  The log takes a run once,
+    however often the job is repeated.  Returns the values with the derived totals, which
+    are not stored.
+    """
+    found = cut_lineage(V.retrieve(chunks, metrics) if found is None else found)
+    winners = cut_lineage(pattern_values(chunks, found, metrics))
+    settled = _settled(winners, model(second_pass(chunks, found, winners, metrics)) if model else None)
+    where = reports.select(F.col("report_id").alias("doc_id"), "company_id", "report_year")
+    rows = X.validate(settled, metrics).join(where, "doc_id").select(
+        "company_id", F.col("doc_id").alias("report_id"), "kpi", "report_year", "value", "unit", "extraction_method", "confidence"
+    )
+    store.store_run(rows, root, run, store.schema_of(rows) + ", is_validated boolean")
+    return _with_total(settled, metrics)
+
+
 def process_company_years(
     records: DataFrame,
     reports: DataFrame,
