@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugework.functions import text as T
-from gaugework.operators.groups import unnest, with_offsets
+from gaugework.operators.groups import unnest, with_position
 from gaugework.rules import text as R
+from gaugework.session import keep_table
 
-HALO = 256
 NO_PAGE = -1
 
 
@@ -54,37 +53,40 @@ def split_block(kind: Column, content: Column) -> tuple[Column, Column]:
     )
 
 
-def index_chunks(blocks: DataFrame, order: list[str]) -> DataFrame:
-    """Split blocks and number the pieces of each document from 0 in page order.
-
-    Pieces are numbered inside their page (tables first) and shifted by the pieces
-    on earlier pages, which come from counts per page.  No task ever holds a whole
-    document.  The counts look at whole rows, so that they and the pieces read one
-    and the same shuffle and the splitting is done once.
-    """
+def split_blocks(blocks: DataFrame, order: list[str]) -> DataFrame:
+    """Pieces of every block with a number ``_row`` that rises along the pieces of a block."""
     kind, parts = split_block(F.col("chunk_type"), F.col("content"))
     split = blocks.select(
         "doc_id", F.coalesce("page_number", F.lit(NO_PAGE)).alias("_page"), *order,
         F.when(F.col("chunk_type") == "table", 0).otherwise(1).alias("_late"),
         kind.alias("chunk_type"), parts.alias("_parts"),
     )
-    pieces = unnest(
-        split, F.col("_parts"), "content",
-        "doc_id", "_page", *order, "_late", "chunk_type", at="_piece",
-    )
-    in_page = W.partitionBy("doc_id", "_page").orderBy("_late", *order, "_piece")
-    placed = pieces.withColumn("_at", F.row_number().over(in_page) - 1)
-    whole = (F.length("chunk_type") >= 0) & F.col("content").isNotNull()
-    counts = placed.groupBy("doc_id", "_page").agg(
-        F.greatest(F.count_if(whole), F.max("_at") + 1).alias("_n")
-    )
-    offsets = with_offsets(counts, ["doc_id"], "_page", "_n", "_offset").drop("_n")
-    return placed.join(offsets, ["doc_id", "_page"]).select(
-        "doc_id",
-        (F.col("_offset") + F.col("_at")).cast("long").alias("chunk_index"),
-        "chunk_type",
-        F.nullif(F.col("_page"), F.lit(NO_PAGE)).alias("page_number"),
-        "content",
+    pieces = unnest(split, F.col("_parts"), "content", "doc_id", "_page", *order, "_late", "chunk_type")
+    return pieces.withColumn("_row", F.monotonically_increasing_id())
+
+
+def number_pieces(pieces: DataFrame, order: list[str], *carried: str) -> DataFrame:
+    """Chunk index of every piece: page order, tables first.  No text is moved or read.
+
+    Pieces of blocks that tie in ``order`` stay together.
+    """
+    narrow = pieces.select("doc_id", "_page", "_late", *order, "_row", *carried)
+    placed = with_position(narrow, ["doc_id"], ["_page", "_late", *order, "_row"], "chunk_index")
+    page = F.nullif(F.col("_page"), F.lit(NO_PAGE)).alias("page_number")
+    return placed.select("_row", "doc_id", "chunk_index", page, *carried)
+
+
+def index_chunks(blocks: DataFrame, order: list[str]) -> DataFrame:
+    """Split blocks and number the pieces of each document from 0 in page order.
+
+    Pieces are written once and numbered on their keys alone, also in a document
+    that is one page of any length; texts are joined to the numbers at the end.
+    A block without a document is left out.
+    """
+    pieces = keep_table(split_blocks(blocks, order), "pieces")
+    texts = pieces.select("_row", "chunk_type", "content")
+    return number_pieces(pieces, order).join(texts, "_row").select(
+        "doc_id", "chunk_index", "chunk_type", "page_number", "content"
     )
 
 
@@ -94,71 +96,88 @@ def with_index_terms(chunks: DataFrame) -> DataFrame:
     )
 
 
-def merge_labels(chunks: DataFrame, most_tokens: int | None = None) -> DataFrame:
-    """Append a value chunk to the label chunk before it on the same page.
+def label_pairs(flags: DataFrame, most_tokens: int | None = None) -> DataFrame:
+    """Label chunks and the value chunk right after each, on the same page.
 
-    A label row has no data number and its value row has one, so merges never
-    chain and one look ahead and one look back decide every row.  Runs of chunk
-    indexes form the partitions; rows at a run's edge are sent to both sides.
+    ``flags`` has ``_row``, place, tokens and what a chunk holds, but no text.  A label
+    has no data number and its value has one, so no chunk is in two pairs and a join
+    on neighbouring indexes decides them all, however long the document.
     """
     most = int(R.MAX_TOKENS * R.MERGED_FACTOR) if most_tokens is None else most_tokens
-    run = F.floor(F.col("chunk_index") / HALO)
-    place = F.col("chunk_index") % HALO
-    homes = F.filter(
-        F.array(run, F.when(place == 0, run - 1), F.when(place == HALO - 1, run + 1)),
-        lambda r: r.isNotNull(),
-    )
-    near = (
-        chunks.withColumn("_label", T.has_label(F.col("content")))
-        .withColumn("_number", T.has_data_number(F.col("content")))
-        .withColumn("_home", run)
-        .withColumn("_run", F.explode(homes))
-    )
-    along = W.partitionBy("doc_id", "_run").orderBy("chunk_index")
-
-    def ahead(name: str) -> Column:
-        return F.lead(name).over(along)
-
-    page, next_page = F.col("page_number"), ahead("page_number")
-    takes = F.coalesce(
-        F.col("_label")
-        & ~F.col("_number")
-        & ahead("_number")
-        & (ahead("chunk_index") == F.col("chunk_index") + 1)
-        & (page.isNull() | next_page.isNull() | (page == next_page))
-        & (F.coalesce("token_count", F.lit(0)) + F.coalesce(ahead("token_count"), F.lit(0)) <= most),
-        F.lit(False),
-    )
-    seen = (
-        near.withColumn("_takes", takes)
-        .withColumn("_next", F.when(F.col("_takes"), ahead("content")))
-        .withColumn("merged_from", F.when(F.col("_takes"), ahead("chunk_index")))
-        .withColumn("_taken", F.coalesce(F.lag("_takes").over(along), F.lit(False)))
+    labels = flags.filter(F.col("_label") & ~F.col("_number"))
+    values = flags.filter("_number").select(
+        "doc_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("page_number").alias("_page"),
+        F.coalesce("token_count", F.lit(0)).alias("_tokens"), F.col("_row").alias("_value_row"),
+    )
+    page, next_page = F.col("page_number"), F.col("_page")
+    return (
+        labels.join(values, ["doc_id", "chunk_index"])
+        .filter(page.isNull() | next_page.isNull() | (page == next_page))
+        .filter(F.coalesce("token_count", F.lit(0)) + F.col("_tokens") <= most)
+        .select("_row", "_value_row", (F.col("chunk_index") + 1).alias("merged_from"))
     )
+
+
+def _take_values(chunks: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Value texts appended to their labels; every join is on ``_row``.
+
+    Only the texts of values move beside those of the chunks themselves.
+    """
+    values = texts.select(F.col("_row").alias("_value_row"), F.col("content").alias("_value"))
+    found = values.join(pairs, "_value_row").select("_row", "merged_from", "_value")
     joined = F.concat(
         F.regexp_replace("content", f"{T.SPACE}+$", ""), F.lit("\n"),
-        F.regexp_replace("_next", f"^{T.SPACE}+", ""),
+        F.regexp_replace("_value", f"^{T.SPACE}+", ""),
     )
     merged = F.col("merged_from").isNotNull()
-    kept = seen.filter((F.col("_run") == F.col("_home")) & ~F.col("_taken")).withColumn(
-        "content", F.when(merged, joined).otherwise(F.col("content"))
-    )
     return (
-        kept.withColumn(
+        chunks.join(pairs.select(F.col("_value_row").alias("_row")), "_row", "left_anti")
+        .join(found, "_row", "left")
+        .withColumn("content", F.when(merged, joined).otherwise(F.col("content")))
+        .withColumn(
             "token_count",
             F.when(merged, T.token_estimate(F.col("content"))).otherwise(F.col("token_count")),
         )
-        .withColumn(
-            "keywords",
-            F.when(merged, T.keywords(F.col("content"))).otherwise(F.col("keywords")),
-        )
-        .select(*chunks.columns, "merged_from")
     )
 
 
+def merge_labels(chunks: DataFrame, most_tokens: int | None = None) -> DataFrame:
+    """Append a value chunk to the label chunk before it on the same page.
+
+    ``chunks`` is a stored table with one row per document and index: it is read for
+    the flags, for the texts of values, and for the result.
+    """
+    keyed = chunks.withColumn("_row", F.struct("doc_id", "chunk_index"))
+    flags = keyed.select(
+        "_row", "doc_id", "chunk_index", "page_number", "token_count",
+        T.has_label(F.col("content")).alias("_label"), T.has_data_number(F.col("content")).alias("_number"),
+    )
+    kept = _take_values(keyed, keyed, label_pairs(flags, most_tokens))
+    merged = F.col("merged_from").isNotNull()
+    words = F.when(merged, T.keywords(F.col("content"))).otherwise(F.col("keywords"))
+    return kept.withColumn("keywords", words).select(*chunks.columns, "merged_from")
+
+
 def chunk_documents(blocks: DataFrame, order: list[str]) -> DataFrame:
-    """Blocks (doc_id, page_number, chunk_type, content, order columns) to chunks."""
-    return merge_labels(with_index_terms(index_chunks(blocks, order)))
+    """Blocks (doc_id, page_number, chunk_type, content, order columns) to chunks.
+
+    Pieces and what they hold are worked out and written once.  Numbers and label pairs
+    come from narrow rows; the texts are joined once, to the chunks that stay.
+    """
+    split = (
+        split_blocks(blocks, order)
+        .withColumn("token_count", T.token_estimate(F.col("content")))
+        .withColumn("_label", T.has_label(F.col("content")))
+        .withColumn("_number", T.has_data_number(F.col("content")))
+    )
+    pieces = keep_table(split, "pieces")
+    texts = pieces.select("_row", "chunk_type", "content")
+    numbered = number_pieces(pieces, order, "token_count", "_label", "_number")
+    chunks = _take_values(numbered.join(texts, "_row"), texts, label_pairs(numbered))
+    return chunks.select(
+        "doc_id", "chunk_index", "chunk_type", "page_number", "content", "token_count",
+        T.keywords(F.col("content")).alias("keywords"), "merged_from",
+    )
 
 
 def parse_summary(chunks: DataFrame, page_counts: DataFrame) -> DataFrame:

@@ -89,6 +89,29 @@ def with_rank(
     return out.drop("_sort", "_total")
 
 
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str) -> DataFrame:
+    """Rows before each row of its group, for groups of any size; ``order`` tells all rows apart.
+
+    Rows are range partitioned by group and order and frozen in a checkpoint, so that a
+    slice keeps its number.  A position is then the rows of the group in earlier slices
+    plus the rows before it in its own.  Give narrow rows: they are sorted and moved.
+    Rows with a null key belong to no group and are left out.
+    """
+    sliced = cut_lineage(
+        df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
+    )
+    per_slice = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = F.sum("_rows").over(W.partitionBy(*keys).orderBy("_slice")) - F.col("_rows")
+    offsets = per_slice.select(*keys, "_slice", earlier.alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order)) - 1
+    return (
+        sliced.withColumn("_inside", inside)
+        .join(offsets, [*keys, "_slice"])
+        .withColumn(position, F.col("_before") + F.col("_inside"))
+        .drop("_slice", "_inside", "_before")
+    )
+
+
 def with_offsets(
     counts: DataFrame, keys: Sequence[str], order: str, n: str, offset: str, block: int = 1024
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again.
+
+    Unlike a checkpoint it is read by column, so later steps can leave texts where they are.
+    """
+    path = f"{shared_folder(df.sparkSession)}/gaugework-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_rows(df: DataFrame, most: int, what: str) -> list:
     """Rows of a rule table for use on the driver; refuses tables above ``most`` rows."""
     rows = df.limit(most + 1).collect()

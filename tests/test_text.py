@@ -97,3 +97,55 @@ def test_label_takes_its_value_even_across_runs(spark):
         assert merged[i]["content"].endswith("CO2e)\n21,949   20,972")
         assert merged[i]["merged_from"] == i + 1
         assert i + 1 not in merged
+
+
+def test_one_page_document_of_a_million_blocks(spark):
+    n = 1_000_000
+    order = (F.col("id") * 7919) % n
+    blocks = spark.range(n, numPartitions=8).select(
+        F.lit(1).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("page_number"), F.lit("text").alias("chunk_type"),
+        F.concat(F.lit("block "), order.cast("string")).alias("content"), order.alias("block_key"),
+    )
+    found = C.index_chunks(blocks, ["block_key"])
+    right = F.count_if(F.col("content") == F.concat(F.lit("block "), F.col("chunk_index").cast("string")))
+    assert found.agg(F.count("*"), right, F.count_distinct("chunk_index")).first()[:] == (n, n, n)
+
+
+def test_tied_and_equal_blocks_keep_all_their_pieces_together(spark):
+    long = " ".join(f"Sentence {i} of copy X " + "word " * 90 + "end." for i in range(12))
+    rows = [(1, 1, "text", long.replace("X", c), 5) for c in "aabc"] + [(1, 1, "text", "", 5), (1, None, "text", "plain words", 0)]
+    found = sorted(C.index_chunks(spark.createDataFrame(rows, BLOCKS), ["block_key"]).collect(), key=lambda r: r["chunk_index"])
+    assert [r["chunk_index"] for r in found] == list(range(len(found)))
+    assert found[0]["content"] == "plain words"
+    copies = [r["content"].split("copy ")[1][0] for r in found[1:]]
+    each = len(copies) // 4
+    assert each > 1 and sorted(copies[i * each : (i + 1) * each] for i in range(4)) == [[c] * each for c in "aabc"]
+
+
+def test_documents_with_labels_against_a_plain_loop(spark):
+    kinds = ["Total Scope 1 emissions (Metric tonnes CO2e)", "21,949   20,972", "plain filler text", "Total Scope 1 emissions 1,234"]
+    rows, expected = [], []
+    for doc in range(6):
+        texts = [kinds[(doc * 31 + i * i * 7 + i // 3) % 4] for i in range(300)]
+        pages = [None if doc == 5 else i // 40 for i in range(300)]
+        rows += [(doc, p, "text", t, i) for i, (p, t) in enumerate(zip(pages, texts))]
+        taken = set()
+        for i, t in enumerate(texts):
+            if i in taken:
+                continue
+            if t == kinds[0] and i + 1 < 300 and texts[i + 1] in (kinds[1], kinds[3]) and pages[i] == pages[i + 1]:
+                taken.add(i + 1)
+                expected.append((doc, i, pages[i], t + "\n" + texts[i + 1], i + 1))
+            else:
+                expected.append((doc, i, pages[i], t, None))
+    made = C.chunk_documents(spark.createDataFrame(rows, BLOCKS), ["block_key"])
+    got = [tuple(r) for r in made.select("doc_id", "chunk_index", "page_number", "content", "merged_from").collect()]
+    assert sorted(got, key=lambda r: r[:2]) == expected
+    assert any(r[4] for r in expected)
+
+
+def test_numbering_moves_no_text(spark):
+    blocks = spark.createDataFrame([(1, 1, "text", "some words", 0)], BLOCKS)
+    numbered = C.number_pieces(C.split_blocks(blocks, ["block_key"]), ["block_key"])
+    assert "content" not in numbered.columns
+    assert C.chunk_documents(blocks.limit(0), ["block_key"]).count() == 0
