@@ -27,7 +27,7 @@ FEATURES = {
     "words": 0, "word_length": 0, "symbols": -1, "dup_lines": -1, "repeated": -1, "upper": -1,
     "digits": 0, "marks": -1, "distinct": 0, "same_as_last": -1, "beyond_ascii": 0, "longest_word": 0,
 }
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 
 
 def _table(chars: bytes) -> np.ndarray:

@@ -40,7 +40,8 @@ GRAM, SPAN = 8, LENGTH * 2 // 5
 SAMPLE_DOCS, SAMPLE_KEYS = 1000, 500_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
-_FLUSH = 50_000
+#: Rows put together to a batch, and bytes of text left that a batch may hold before it is sent.
+_FLUSH, _HELD = 50_000, 4 << 20
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
@@ -84,53 +85,76 @@ def merge(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[fresh], stop[np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(stop) - 1]])]
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).astype(np.int64))
+def _sorted(keys: set[int]) -> np.ndarray:
+    """Keys as they travel to the tasks: eight bytes each."""
+    return np.sort(np.fromiter(keys, np.uint64, len(keys)))
 
 
-def _parse(hot_runs: set[int], hot_keys: set[int], length: int):
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in the sorted ``keys``."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
+def _lone(doc: int, places: np.ndarray) -> np.ndarray:
+    """Keys that no other row has, so that rows already known to repeat meet nobody."""
+    return np.array([xxhash.xxh3_64_intdigest(b"%d %d" % (doc, at)) for at in places.tolist()], np.uint64)
+
+
+def _batches(parts: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Parts (document, one array per further column) put together to batches of some size."""
+    held, rows = [], 0
+
+    def batch() -> pa.RecordBatch:
+        doc = np.repeat(np.array([p[0] for p in held], np.int64), [len(p[1]) for p in held])
+        columns = [doc, *(np.concatenate(c) for c in list(zip(*held))[1:])]
+        columns = [c.view(np.int64) if c.dtype == np.uint64 else c for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    for part in parts:
+        held.append(part)
+        rows += len(part[1])
+        if rows > _FLUSH:
+            yield batch()
+            held, rows = [], 0
+    if rows:
+        yield batch()
+
+
+_INTERVALS = pa.schema([
+    ("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("key", pa.int64()), ("around", pa.int64()), ("kind", pa.int8()),
+])
+_SUFFIXES = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("known", pa.bool_())])
+
+
+def _parse(docs: Iterator[tuple[int, bytes]], hot_runs: np.ndarray, hot_keys: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
     """Per document: intervals to sort, and spans of strings already known to repeat.
 
     ``kind`` 0: the run may stand alone; 1: the run is known to repeat; 2: repeats.
     """
+    digest = xxhash.xxh3_64_intdigest
 
-    def rows(docs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        doc, start, stop, key, around, kind = [], [], [], [], [], []
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()),
-                 _signed(key), _signed(around), pa.array(kind, pa.int8())],
-                ["doc", "start", "stop", "key", "around", "kind"],
+    def parts() -> Iterator[tuple]:
+        for name, text in docs:
+            a, b, x, y = intervals(text, length, span_of(length))
+            runs = [digest(text[i:j]) for i, j in zip(x.tolist(), y.tolist())]
+            seeds, ends = zip((x - a).tolist(), runs), (b + length - 1).tolist()
+            around = np.array([digest(text[i:j], at ^ run) for i, j, (at, run) in zip(a.tolist(), ends, seeds)], np.uint64)
+            runs = np.array(runs, np.uint64)
+            known = _among(around, hot_keys)
+            start, stop = merge(a[known], b[known])
+            lone = _lone(name, start)
+            a, b, runs, around = (c[~known] for c in (a, b, runs, around))
+            hot = _among(runs, hot_runs)
+            key = np.where(hot, runs ^ around, runs)
+            kind = np.concatenate([hot.astype(np.int8), np.full(len(start), 2, np.int8)])
+            yield (
+                name, np.concatenate([a, start]), np.concatenate([b, stop]), np.concatenate([key, lone]),
+                np.concatenate([around, lone]), kind,
             )
-            for column in (doc, start, stop, key, around, kind):
-                column.clear()
-            return batch
 
-        digest = xxhash.xxh3_64_intdigest
-        for name, text in docs:
-            known: list[tuple[int, int]] = []
-            for a, b, x, y in zip(*(c.tolist() for c in intervals(text, length, span_of(length)))):
-                run = digest(text[x:y])
-                whole = digest(text[a : b + length - 1], (x - a) ^ run)
-                if whole in hot_keys:
-                    if known and known[-1][1] == a:
-                        known[-1] = (known[-1][0], b)
-                    else:
-                        known.append((a, b))
-                    continue
-                hot = run in hot_runs
-                doc.append(name), start.append(a), stop.append(b)
-                key.append(run ^ whole if hot else run), around.append(whole), kind.append(int(hot))
-            for a, b in known:
-                lone = digest(b"%d %d" % (name, a))
-                doc.append(name), start.append(a), stop.append(b), key.append(lone), around.append(lone), kind.append(2)
-            if len(doc) > _FLUSH:
-                yield flush()
-        if doc:
-            yield flush()
-
-    return rows
+    return _batches(parts(), _INTERVALS)
 
 
 def _named(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[int, bytes]]:
@@ -167,15 +191,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def parsed(rows: DataFrame, hot) -> DataFrame:
         def run(batches):
             runs, keys = hot.value
-            yield from _parse(runs, keys, length)(_named(batches))
+            yield from _parse(_named(batches), runs, keys, length)
 
         return rows.select("doc", "text").mapInArrow(run, form)
 
     sample = F.broadcast(docs.select("doc").distinct().orderBy("doc").limit(SAMPLE_DOCS))
-    seen = parsed(docs.join(sample, "doc"), context.broadcast((set(), set())))
+    seen = parsed(docs.join(sample, "doc"), context.broadcast((_sorted(set()), _sorted(set()))))
     seen = seen.orderBy("around", "doc", "start").limit(4 * SAMPLE_KEYS).toPandas()
     runs, keys = _hot(seen)
-    hot = context.broadcast((runs, keys))
+    hot = context.broadcast((_sorted(runs), _sorted(keys)))
     known = seen[seen["around"].astype("uint64").isin(keys)].drop_duplicates("around")
     known = docs.sparkSession.createDataFrame(known[["doc", "start", "stop"]], "doc long, start int, stop int")
 
@@ -203,9 +227,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return rows.mapInArrow(run, "doc long, start int, key long, known boolean")
 
     asked = keep(asked, "open")
-    some = suffixes(asked.join(sample, "doc"), context.broadcast(set())).select("key")
+    some = suffixes(asked.join(sample, "doc"), context.broadcast(_sorted(set()))).select("key")
     some = some.orderBy("key").limit(4 * SAMPLE_KEYS).toPandas()
-    hot = context.broadcast(_repeated(some["key"]))
+    hot = context.broadcast(_sorted(_repeated(some["key"])))
     order = W.partitionBy("key").orderBy("doc")
     ordered = suffixes(asked, hot).select("*", F.lag("doc").over(order).alias("before"), F.lead("doc").over(order).alias("after"))
     ends = ordered.filter(F.col("known") | F.col("before").isNotNull() | F.col("after").isNotNull())
@@ -223,50 +247,58 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(packed, pa.binary())], ["doc", "packed"])
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], hot: set[int], length: int) -> Iterator[pa.RecordBatch]:
-    """The first ``length`` bytes, hashed, of every suffix that starts in an open interval."""
+def _spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and stops of each row of a column of span lists; a null list is empty."""
+    cuts = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    start, stop = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in column.flatten().flatten())
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield start[a:b], stop[a:b]
+
+
+def _unpacked(column: pa.Array) -> Iterator[bytes]:
     unpack = zstandard.ZstdDecompressor()
+    for packed in column:
+        packed = packed.as_buffer() if packed.is_valid else None
+        yield unpack.decompress(packed, max_output_size=1 << 31) if packed is not None and packed.size else b""
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], hot: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """The first ``length`` bytes, hashed, of every suffix that starts in an open interval."""
     digest = xxhash.xxh3_64_intdigest
-    form = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("known", pa.bool_())])
 
-    def batch_of(doc, start, key, known):
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), _signed(key), pa.array(known, pa.bool_())], schema=form)
+    def parts() -> Iterator[tuple]:
+        for batch in batches:
+            rows = zip(batch.column("doc").to_pylist(), _unpacked(batch.column("packed")), _spans(batch.column("open")))
+            for name, text, (start, stop) in rows:
+                for i, j in zip(start.tolist(), stop.tolist()):
+                    key = np.array([digest(text[at : at + length]) for at in range(i, j)], np.uint64)
+                    places, known = np.arange(i, j), _among(key, hot)
+                    key[known] = _lone(name, places[known])
+                    yield name, places, key, known
 
-    for batch in batches:
-        doc, start, key, known = [], [], [], []
-        for name, packed, held in zip(batch.column("doc").to_pylist(), batch.column("packed").to_pylist(), batch.column("open").to_pylist()):
-            text = unpack.decompress(packed, max_output_size=1 << 31) if packed else b""
-            for part in held:
-                for at in range(part["start"], part["stop"]):
-                    value = digest(text[at : at + length])
-                    doc.append(name), start.append(at)
-                    known.append(value in hot)
-                    key.append(digest(b"%d %d" % (name, at)) if known[-1] else value)
-            if len(doc) > _FLUSH:
-                yield batch_of(doc, start, key, known)
-                doc, start, key, known = [], [], [], []
-        if doc:
-            yield batch_of(doc, start, key, known)
+    return _batches(parts(), _SUFFIXES)
 
 
 def cut(batches: Iterator[pa.RecordBatch], extra: list[str], text_out: bool) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
+    def made(part: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        *numbers, last = zip(*out)
+        arrays = [*(part.column(c) for c in extra), *(pa.array(c, pa.int64()) for c in numbers), pa.array(last, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, [*extra, "n_bytes", "n_removed", "n_spans", "text" if text_out else "kept_sha256"])
+
     for batch in batches:
-        out = []
-        for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist()):
-            text = unpack.decompress(packed, max_output_size=1 << 31)
-            places = np.array([(s["start"], s["stop"]) for s in spans or []], np.int64).reshape(-1, 2)
-            start, stop = merge(places[:, 0], places[:, 1])
+        out, first, held = [], 0, 0
+        for row, (text, (start, stop)) in enumerate(zip(_unpacked(batch.column("packed")), _spans(batch.column("spans")))):
+            start, stop = merge(start, stop)
             edges = [0, *np.stack([start, stop], 1).ravel().tolist(), len(text)]
             left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            out.append((len(text), len(text) - len(left), len(start), left))
-        count, removed, runs, left = zip(*out) if out else ((), (), (), ())
-        if text_out:
-            last = [pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())]
-        else:
-            last = [pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
-        arrays = [*(batch.column(c) for c in extra), *(pa.array(c, pa.int64()) for c in (count, removed, runs)), *last]
-        yield pa.RecordBatch.from_arrays(arrays, [*extra, "n_bytes", "n_removed", "n_spans", "text" if text_out else "kept_sha256"])
+            shown = left.decode("utf-8", "ignore") if text_out else hashlib.sha256(left).hexdigest()
+            out.append((len(text), len(text) - len(left), len(start), shown))
+            held += len(left)
+            if held > _HELD:
+                yield made(batch.slice(first, len(out)), out)
+                out, first, held = [], row + 1, 0
+        if out:
+            yield made(batch.slice(first, len(out)), out)
 
 
 def remove_repeats(docs: DataFrame, text_out: bool = False, length: int = LENGTH) -> DataFrame:
