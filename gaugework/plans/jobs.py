@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions import text as T
+from gaugework.functions import units as U
 from gaugework.operators import benchmark as B
 from gaugework.operators import chunking as C
 from gaugework.operators import discovery as D
@@ -23,6 +24,13 @@ from gaugework.sources import store
 from gaugework.sources import tables as S
 
 
+#: Columns of the record log that extraction writes.
+LOGGED = (
+    "company_id long, report_id long, kpi string, value double, unit string, extraction_method string, confidence double, "
+    "is_validated boolean, report_year int"
+)
+
+
 def parse_new(
     blocks: DataFrame, reports: DataFrame, parsed: DataFrame, version: str, order: list[str]
 ) -> DataFrame:
@@ -140,7 +148,8 @@ def process_company_years(
     """Stored values, gaps filled from reports in order, derived total, ratios.
 
     ``extracted``: records read from the reports (record columns).  A stored value
-    wins unless its key is missing.
+    wins unless its key is missing.  ``pages`` may state a ratio themselves: it is taken
+    when the revenue that it implies for the canonical value is believable.
     """
     keys = list(R.KEY)
     stored = R.best_per_key(
@@ -148,7 +157,7 @@ def process_company_years(
     ).select(*keys, "value", "unit", "method", "confidence")
     gaps = R.missing(R.wanted(R.usable_reports(reports), targets), stored)
     fresh = R.first_report_with_value(
-        extracted.join(gaps, keys, "left_semi"), reports, tie=tie
+        extracted.join(gaps, keys, "left_semi"), reports, tie=[t for t in tie if t in extracted.columns]
     ).select(*keys, "value", "unit", F.col("extraction_method").alias("method"),
              F.coalesce("confidence", F.lit(L.DEFAULT_CONFIDENCE)).alias("confidence"))
     merged = R.merge_by_precedence(fresh, stored)
@@ -158,9 +167,9 @@ def process_company_years(
     stated = None
     if pages is not None:
         source = R.best_report(reports, need_file=True).select("company_id", "report_year", "report_id")
-        at_report = values.join(source, ["company_id", "report_year"]).select(
-            "report_id", "company_id", "report_year", "kpi", "value"
-        )
+        unit = F.coalesce(F.nullif(F.col("unit"), F.lit("")), B.described(F.col("kpi"), "unit"), F.lit(""))
+        canonical = values.withColumn("value", U.normalised(F.col("kpi"), F.col("value"), unit)["value"])
+        at_report = canonical.filter(F.col("value").isNotNull()).join(source, ["company_id", "report_year"])
         stated = (
             N.reported_ratio(pages, at_report.select("report_id", "kpi", "value"))
             .join(source, "report_id")
@@ -170,6 +179,26 @@ def process_company_years(
     return ratios.filter(B.under_ceiling(F.col("kpi"), F.col("ratio"), "run"))
 
 
+def company_years_from_reports(
+    chunks: DataFrame,
+    pages: DataFrame,
+    records: DataFrame,
+    reports: DataFrame,
+    root: str,
+    run: str,
+    targets: Sequence[str] = L.RUN_EXTRACTED,
+) -> DataFrame:
+    """Company-years from the reports themselves: extract, append to the log at ``root``, fill gaps, ratios.
+
+    Every report is extracted once and its values go to the log; company-years are then
+    worked out from stored records and the log, and ratios stated on ``pages`` come first.
+    Repeating a run leaves log and result as they are.
+    """
+    extract_and_store(chunks, reports, root, run)
+    extracted = store.read_log(chunks.sparkSession, root, LOGGED)
+    return process_company_years(records, reports, extracted, pages, targets)
+
+
 def ingest_plan(results: DataFrame, companies: DataFrame, reports: DataFrame) -> dict[str, DataFrame]:
     """What discovery adds: companies, reports and the next download per type."""
     accepted = D.discovered(results)

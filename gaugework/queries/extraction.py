@@ -304,7 +304,7 @@ def _(spark, folder):
     return N.prompt_pages(pages(spark, folder))
 
 
-_LABELS = [(k, i, label) for k, labels in L.RATIO_LABELS.items() for i, label in enumerate(labels)]
+RATIO_LABELS = [(k, i, label) for k, labels in L.RATIO_LABELS.items() for i, label in enumerate(labels)]
 
 
 @query(
@@ -316,7 +316,7 @@ _LABELS = [(k, i, label) for k, labels in L.RATIO_LABELS.items() for i, label in
               FROM report_pages, labels_ WHERE contains(lower(text), label)) s
             JOIN (SELECT report_id, kpi, max(value) AS value FROM kpi_records WHERE value IS NOT NULL GROUP BY 1, 2) v USING (report_id, kpi)
             WHERE s.ratio > 0 AND (v.value <= 0 OR v.value / s.ratio BETWEEN 1000 AND 9000000))) WHERE rn = 1""",
-             [("labels_", table(_LABELS, "kpi, label_no, label"))]),
+             [("labels_", table(RATIO_LABELS, "kpi, label_no, label"))]),
 )
 def _(spark, folder):
     values = frame(spark, folder, "kpi_records").filter(F.col("value").isNotNull()).groupBy("report_id", "kpi").agg(F.max("value").alias("value"))
