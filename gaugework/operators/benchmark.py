@@ -10,6 +10,7 @@ from gaugework.functions import units as U
 from gaugework.functions.constants import lookup
 from gaugework.operators.groups import first_per_group, with_group_stats, with_rank
 from gaugework.rules import limits as L
+from gaugework.session import keep_table
 
 _FIELD = {"display_name": 1, "label": 2, "group": 3, "unit": 4, "ratio_unit": 5}
 
@@ -147,8 +148,12 @@ def overall_winner(wins: DataFrame, by: str = "comparison_id") -> DataFrame:
 
 
 def rank_entries(ratios: DataFrame) -> DataFrame:
-    """Rank, percentile and gap to the leader per (metric, year), best first."""
+    """Rank, percentile and gap to the leader per (metric, year), best first.
+
+    The ratios are worked out once and staged: ranks, leaders and the result all read them.
+    """
     keys = ["kpi", "report_year"]
+    ratios = keep_table(ratios, "ratios")
     low = lower_is_better(F.col("kpi"))
     ranked = with_rank(ratios, keys, "ratio", "rank", "percentile", descending=~low)
     led = with_group_stats(ranked, keys, _low=F.min("ratio"), _high=F.max("ratio"))

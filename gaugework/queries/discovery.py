@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import text as T
 from gaugework.operators import discovery as D
+from gaugework.operators import ingestion as I
 from gaugework.plans import jobs as J
 from gaugework.queries.registry import literals, query, table, text
 from gaugework.queries.views import frame, sql_with
 from gaugework.rules import discovery as R
+from gaugework.rules import limits as L
 
 _TEMPLATES = ("templates", table(R.TEMPLATES, "query_type, template"))
 
@@ -151,3 +153,65 @@ def _(spark, folder):
 def _(spark, folder):
     plan = J.ingest_plan(results(spark, folder), frame(spark, folder, "companies"), frame(spark, folder, "reports"))
     return plan["reports"].select("company_id", "source_url", "report_type", "report_year", "status")
+
+
+# --------------------------------------------------------------------------
+# The status log and what came of each type
+# --------------------------------------------------------------------------
+_EVENTS = """SELECT l_orderkey AS report_id, l_shipdate AS ts, CASE l_linenumber % 5 WHEN 0 THEN 'discovered' WHEN 1 THEN 'downloading'
+    WHEN 2 THEN 'failed' WHEN 3 THEN 'downloaded' ELSE 'parsed' END AS status, l_linenumber % 5 AS stage FROM lineitem"""
+_ALLOWED = ("allowed_", table([(f"{a}>{b}",) for a, nexts in L.STATUS_CHANGES.items() for b in nexts], "change"))
+_CHANGES = [
+    ("events_", _EVENTS), _ALLOWED,
+    ("placed", """SELECT *, row_number() OVER w - 1 AS change_no, lag(status) OVER w AS before FROM events_
+        WINDOW w AS (PARTITION BY report_id ORDER BY ts, stage)"""),
+    ("changes_", "SELECT *, concat(coalesce(before, 'none'), '>', status) AS what, concat(coalesce(before, 'none'), '>', status) IN (SELECT change FROM allowed_) AS allowed FROM placed"),
+]
+
+
+def events(spark, folder):
+    """A status log made of the order lines: their number says which status, their date when."""
+    status = F.get(F.array(*[F.lit(n) for n in L.STATUS_ORDER]), F.col("l_linenumber") % 5)
+    return frame(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("report_id"), F.col("l_shipdate").alias("ts"), status.alias("status")
+    )
+
+
+@query("status_changes", sql_with([], "SELECT report_id, change_no, ts, before, status, allowed FROM changes_", _CHANGES))
+def _(spark, folder):
+    return I.judged_changes(events(spark, folder))
+
+
+@query(
+    "status_fold",
+    sql_with([], """SELECT report_id, arg_max(status, change_no) AS status, count(*) AS changes, count(*) FILTER (NOT allowed) AS refused,
+        arg_min(what, change_no) FILTER (NOT allowed) AS first_refused FROM changes_ GROUP BY 1""", _CHANGES),
+)
+def _(spark, folder):
+    return I.folded(events(spark, folder))
+
+
+@query(
+    "ingest_outcomes",
+    sql_with(["reports"], f"""SELECT company_id, report_year, report_type, coalesce(candidates, 0) AS candidates, coalesce(failed, 0) AS failed, report_id,
+          CASE WHEN candidates IS NULL THEN 'not_found' WHEN report_id IS NOT NULL THEN 'downloaded' WHEN candidates = failed THEN 'failed' ELSE 'open' END AS outcome
+        FROM (SELECT *, unnest([{literals(L.REPORT_KINDS)}]) AS report_type FROM (SELECT DISTINCT company_id, report_year FROM reports))
+        LEFT JOIN (SELECT company_id, report_year, report_type, count(*) AS candidates, count(*) FILTER (status = 'failed') AS failed FROM reports GROUP BY 1, 2, 3)
+          USING (company_id, report_year, report_type)
+        LEFT JOIN (SELECT company_id, report_year, report_type, report_id FROM (SELECT *, row_number() OVER (PARTITION BY company_id, report_year, report_type
+            ORDER BY score DESC, report_id) AS rn FROM reports WHERE status IN ('downloaded', 'parsed', 'extracted')) WHERE rn = 1)
+          USING (company_id, report_year, report_type)"""),
+)
+def _(spark, folder):
+    reports = frame(spark, folder, "reports")
+    return I.type_outcomes(reports, reports)
+
+
+@query(
+    "ingest_companies",
+    sql_with(["search_results", "companies"], """SELECT arg_min(company_name, company_name) AS company_name FROM search_results s
+        WHERE company_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM companies c WHERE lower(c.company_name) = lower(s.company_name)) GROUP BY lower(company_name)"""),
+)
+def _(spark, folder):
+    plan = J.ingest_plan(results(spark, folder), frame(spark, folder, "companies"), frame(spark, folder, "reports"))
+    return plan["companies"]

@@ -11,6 +11,19 @@ OTHER_PRIORITY = 99
 
 USABLE_STATUS: tuple[str, ...] = ("downloaded", "parsed", "extracted")
 RETRY_STATUS: tuple[str, ...] = ("discovered", "failed")
+# Report types that are looked for
+REPORT_KINDS: tuple[str, ...] = ("BRSR", "ESG", "Integrated")
+# Status of a report: how far it is, and what may follow; an upload begins as downloaded
+STATUS_ORDER: tuple[str, ...] = ("discovered", "downloading", "failed", "downloaded", "parsed")
+NO_STATUS = "none"
+STATUS_CHANGES: dict[str, tuple[str, ...]] = {
+    "none": ("discovered", "downloaded"),
+    "discovered": ("downloading", "failed"),
+    "downloading": ("downloaded", "failed"),
+    "failed": ("downloading", "failed"),
+    "downloaded": ("parsed", "failed"),
+    "parsed": ("parsed",),
+}
 
 ACCEPT_PATTERN_CONFIDENCE = 0.88
 READ_CONFIDENCE = 0.40

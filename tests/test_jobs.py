@@ -2,6 +2,7 @@
 
 import datetime
 
+from gaugework.operators import ingestion as I
 from gaugework.plans import jobs as J
 from gaugework.sources import store
 
@@ -79,3 +80,38 @@ def test_from_chunks_to_company_years_and_again(spark):
     assert first == second
     log = store.read_log(spark, root, J.LOGGED)
     assert log.filter("kpi = 'scope_1_emissions'").count() == 3
+
+
+def test_status_log_against_a_plain_loop(spark):
+    names = ("discovered", "downloading", "failed", "downloaded", "parsed", "lost")
+    rows = [(k % 7, k * k % 50, names[(k * k + k // 3) % 6]) for k in range(400)]
+    # one report with most of the events, in the allowed order over and over
+    rows += [(99, k, ("downloading", "failed")[k % 2]) for k in range(2000)]
+    order = {s: i for i, s in enumerate(names[:5])}
+    log, expected = {}, {}
+    for report_id, ts, status in rows:
+        log.setdefault(report_id, []).append((ts, order.get(status, -1), status))
+    for report_id, changes in log.items():
+        before, refused = "none", []
+        for _, _, status in sorted(changes):
+            if status not in I.L.STATUS_CHANGES.get(before, ()):
+                refused.append(f"{before}>{status}")
+            before = status
+        expected[report_id] = (before, len(changes), len(refused), refused[0] if refused else None)
+    found = I.folded(spark.createDataFrame(rows, "report_id long, ts long, status string"))
+    assert {r["report_id"]: (r["status"], r["changes"], r["refused"], r["first_refused"]) for r in found.collect()} == expected
+    assert expected[99][2:] == (1, "none>downloading")
+
+
+def test_outcomes_of_report_types(spark):
+    rows = [
+        (1, 1, 2024, "ESG", "failed", 0.9), (2, 1, 2024, "ESG", "downloaded", 0.5), (3, 1, 2024, "ESG", "parsed", 0.7),
+        (4, 1, 2024, "BRSR", "failed", 0.9), (5, 2, 2024, "BRSR", "discovered", None), (6, 2, 2024, "Other", "parsed", 0.1),
+    ]
+    reports = spark.createDataFrame(rows, "report_id long, company_id long, report_year int, report_type string, status string, score double")
+    found = {(r["company_id"], r["report_type"]): (r["outcome"], r["report_id"], r["failed"]) for r in I.type_outcomes(reports, reports).collect()}
+    assert found == {
+        (1, "ESG"): ("downloaded", 3, 1), (1, "BRSR"): ("failed", None, 1), (1, "Integrated"): ("not_found", None, 0),
+        (2, "BRSR"): ("open", None, 0), (2, "ESG"): ("not_found", None, 0), (2, "Integrated"): ("not_found", None, 0),
+    }
+    assert I.type_outcomes(reports.limit(0), reports).count() == 0

@@ -12,7 +12,7 @@ CHECKED = [
     "best_record_per_kpi", "normalize_units", "compare_companies", "rank_percentile", "merge_label_value",
     "keyword_index", "revenue_pick", "discovery_filter", "multi_query_search", "active_metrics", "metrics_by_name",
     "landed_files", "found_of_requested", "hybrid_retrieval", "record_log", "parse_cache",
-    "company_years_from_reports", "chunk_index", "parse_meta",
+    "company_years_from_reports", "chunk_index", "parse_meta", "status_fold", "ingest_outcomes",
 ]
 
 
