@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gaugework.functions import text as T
 from gaugework.operators import chunking as C
 from gaugework.operators.groups import settled
 from gaugework.queries.views import frame
@@ -39,3 +40,22 @@ def test_settled_keeps_rows_columns_and_nulls(spark):
     out = settled(df, "t", "n")
     assert out.columns == df.columns
     assert sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
+
+
+def test_whether_a_text_looks_like_a_table_is_worked_out_once(spark):
+    blocks = spark.range(3).select(
+        F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.lit(0).alias("block_key"), F.lit("text").alias("chunk_type"),
+        F.format_string("total energy %d GJ in the year", "id").alias("content"),
+    )
+    plan = C.split_blocks(blocks, ["block_key"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(T.R.ADJACENT_NUMBERS) == 1
+
+
+def test_texts_around_the_length_that_needs_no_count(spark):
+    texts = ["a " * 374 + "a", "a " * 375 + "a", "a. B " * 400, "x" * 2000]
+    blocks = spark.createDataFrame([(i, 1, 0, "text", t) for i, t in enumerate(texts)], "doc_id long, page_number int, block_key int, chunk_type string, content string")
+    assert len(texts[0]) == C.SURELY_SHORT
+    got = {r["doc_id"]: r["n"] for r in C.split_blocks(blocks, ["block_key"]).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    want = [len(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(
+        F.when(T.token_estimate(F.col("t")) <= 500, F.array("t")).otherwise(T.segments(F.col("t")))).collect()]
+    assert [got[i] for i in range(len(texts))] == want
