@@ -81,3 +81,23 @@ def test_upload_in_one_pass(stored):
     want = J.upload_metrics(R.best_per_key(records, reports), new)
     got = J.upload_from_records(records, reports)
     assert _rows(got.select(*want.columns)) == _rows(want) and got.filter("company_id = 9").count() == 1
+
+
+def test_stored_and_fresh_in_one_pass(stored):
+    records, reports = stored
+    keys = list(R.KEY)
+    fresh = R.first_report_with_value(records, reports).select(*keys, "value")
+    want = R.merge_by_precedence(fresh, R.best_per_key(records, reports).select(*keys, "value")).select(*keys, "value")
+    got = R.stored_and_fresh(records, reports, fields=("value",))
+    assert _rows(got.select(*keys, F.coalesce("fresh.value", "stored.value"))) == _rows(want)
+
+
+def test_company_years_from_stored_records(stored):
+    records, reports = stored
+    reports = reports.join(records.groupBy("report_id").agg(F.min("company_id").alias("company_id"), F.min("report_year").alias("report_year")), "report_id").select(
+        "*", F.lit(None).cast("string").alias("file_path"), F.lit(100.0).alias("revenue_cr"), F.lit("INR_Crore").alias("revenue_unit"), F.lit("db").alias("revenue_source")
+    )
+    targets = ("scope_1_emissions", "energy_consumption", "women_employees_percentage")
+    got = J.process_company_years(records, reports, targets=targets)
+    want = J.process_company_years(records, reports, records, targets=targets)
+    assert _rows(got) == _rows(want) and len(_rows(got)) > 1
