@@ -101,3 +101,31 @@ def test_company_years_from_stored_records(stored):
     got = J.process_company_years(records, reports, targets=targets)
     want = J.process_company_years(records, reports, records, targets=targets)
     assert _rows(got) == _rows(want) and len(_rows(got)) > 1
+
+
+def test_files_are_read_once(spark):
+    from gaugework.sources import landing
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    schema = "company_id long, report_year int, path string, content binary, length long, status string"
+    rows = [(1, 2024, "a", b"%PDF-1", 6, "read"), (1, 2025, "b", b"%PDF-1", 6, "read"), (1, 2025, "c", b"x", 1, "read")]
+    files = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    none = spark.createDataFrame([], "company_id long, file_hash string")
+    got = {r["path"]: r["status"] for r in landing.outcomes(files, none).collect()}
+    assert got == {"a": "downloaded", "b": "duplicate", "c": "not a report file"} and made.value == 3
+
+
+def test_runs_read_staged_records(spark, monkeypatch):
+    from gaugework.queries import stores
+    from gaugework.queries.registry import QUERIES
+
+    read, run = [], stores.store.store_run
+    monkeypatch.setattr(stores.store, "store_run", lambda rows, *a: (read.append(rows.inputFiles()), run(rows, *a)))
+    QUERIES["record_log"](spark, FOLDER)
+    assert len(read) == 3 and all("/gaugework-tables/" in f for files in read for f in files)
