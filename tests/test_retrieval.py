@@ -143,3 +143,30 @@ def test_hybrid_equals_brute_force(spark):
             result.sort(key=lambda r: (r[2], -round(r[1], 6)))
             want |= {(doc, m.name, i, round(s, 3), nb) for i, s, nb in result[:10]}
     assert got == want
+
+
+def test_long_documents_are_ranked_as_short_ones(spark, monkeypatch):
+    chunks = fixture(spark, docs=7)
+    judged = V.judge_chunks(chunks).select("doc_id", "kpi", "tier", "score", "chunk_index", "page_number").collect()
+    sizes = sorted(sum(r["doc_id"] == d for r in judged) for d in range(7))
+    monkeypatch.setattr(V, "MOST_TOGETHER", sizes[4])  # some documents go either way
+    got = {
+        (r["doc_id"], r["kpi"], r["chunk_index"], round(r["score"], 5), r["is_neighbor"]) for r in V.retrieve(chunks).collect()
+    }
+    assert got == brute(judged, chunks.collect())
+
+
+def test_rows_of_a_document_are_moved_once(spark):
+    plan = V.retrieve(fixture(spark))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("kpi" in line for line in dealt)
+
+
+def test_search_reads_no_keywords_of_other_texts(spark):
+    rows = [(1, 0, "text", 1, "No ENERGY used", 5, ["energy", "used"]), (1, 1, "text", 1, "awater consumptions", 4, ["awater", "consumptions"]),
+            (1, 2, "text", 1, "water | other", 4, ["other", "water"]), (2, 0, "text", 1, "5", 1, ["has_numbers"])]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    words = ("energy", "water consumption", "Numbers")
+    may = {(r["doc_id"], r["chunk_index"]) for r in chunks.filter(V._may_hold(words)).collect()}
+    index = [(r[0], r[1]) for r in rows if any(w.lower() in " ".join(r[6]) for w in words)]
+    assert may >= set(index) == {(1, 0), (1, 1), (2, 0)}
