@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugework.llm import passage_quality, toxicity
-from gaugework.llm.labelled import held_out, labelled_sample
+from gaugework.llm.labelled import held_out, labelled, labelled_sample
 
 from .conftest import make_text
 
@@ -133,3 +133,31 @@ def test_sample_is_bounded_and_skips_held_out(spark, insults):
     texts, labels = insults
     rows = labelled_sample(texts, labels, "toxic", 20, ~held_out(3, 1)).join(texts.select("doc_id", held_out(3, 1).alias("out")), "doc_id").collect()
     assert len(rows) == 40 and not any(r["out"] for r in rows)
+
+
+def test_toxicity_learns_from_every_labelled_document(spark, insults, monkeypatch):
+    """Several shards, and a bucket that only a few of all documents have is known."""
+    texts, labels = insults
+    monkeypatch.setattr(toxicity, "SHARD", 150)
+    rows = toxicity._words(labelled(texts, labels, "toxic", ~held_out(3, 1), also=("lang",)), 4).toPandas()
+    want = {r["doc_id"] for r in texts.filter(~held_out(3, 1)).collect()}
+    assert set(rows["doc_id"]) == want and len(rows) == len(want) and len(set(rows["shard"])) == 4
+    network = toxicity.train(texts, labels)
+    again = toxicity.train(texts.repartition(7), labels)
+    times = {}
+    for words in rows["words"][~rows["back"]]:
+        for w in set(words.tolist()):
+            times[w] = times.get(w, 0) + 1
+    assert network.known.tolist() == sorted(w for w, n in times.items() if n >= toxicity.LEAST_TEXTS)
+    assert np.array_equal(network.vectors, again.vectors) and network.shift == again.shift
+    scored = toxicity.score(texts.withColumn("out", held_out(3, 1)), network).join(labels.withColumnRenamed("toxic", "t"), "doc_id").filter("out").collect()
+    assert np.mean([r["predicted"] == r["t"] for r in scored]) > 0.97
+
+
+def test_packed_weights_come_back():
+    net = toxicity.fit([np.arange(50, dtype=np.int32)] * 6, np.array([0, 1, 0, 1, 0, 1.0]), epochs=1)
+    back, adagrad = toxicity._unpacked(net.known, toxicity._packed(net, toxicity._Adagrad(0.03)))
+    for name in ("vectors", "filters", "bias", "out"):
+        assert np.array_equal(getattr(net, name), getattr(back, name))
+        assert np.allclose(adagrad.sums[name], 1e-6)
+    assert np.isclose(net.out_bias, back.out_bias)
