@@ -68,3 +68,59 @@ def test_given_tables_are_dealt_by_document(spark):
     at = blocks.select("doc_id", F.spark_partition_id().alias("at")).distinct()
     assert at.count() == blocks.select("doc_id").distinct().count()
     assert sorted(blocks.collect()) == sorted(frame(spark, FOLDER, "blocks").collect())
+
+
+def test_batches_end_where_documents_end():
+    import pyarrow as pa
+
+    from gaugework.functions.ranking import whole_documents
+
+    sizes = [3, 1, 5, 2, 1, 7]
+    doc = [d for d, n in enumerate(sizes) for _ in range(n)]
+    table = pa.table({"doc_id": doc, "_rows": [sizes[d] for d in doc], "at": list(range(len(doc)))})
+    for step in (1, 2, 3, 4, 6, 50):
+        made = list(whole_documents(table.to_batches(max_chunksize=step)))
+        assert [x for b in made for x in b.column("at").to_pylist()] == list(range(len(doc)))
+        for b in made:
+            assert all(b.column("doc_id").to_pylist().count(d) == sizes[d] for d in b.column("doc_id").to_pylist())
+    with pytest.raises(ValueError):
+        list(whole_documents(table.slice(0, 2).to_batches()))
+
+
+def test_rounding_is_that_of_spark(spark):
+    import numpy as np
+
+    from gaugework.functions.ranking import rounded
+
+    rng = random.Random(2)
+    xs = [0.0, 1.0000005, 1.0000015, 2.5e-6, 0.1234565, 7.1234575, *[rng.uniform(0, 30) for _ in range(200)], *[rng.randrange(10**8) / 1e7 for _ in range(300)]]
+    want = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(F.bround("x", 6).alias("r")).collect()
+    assert (rounded(np.array(xs)) / 1e6).tolist() == [r["r"] for r in want]
+
+
+@pytest.mark.parametrize("name", ["keyword_retrieval", "wider_chunks", "block_patterns", "context_packing", "second_pass"])
+def test_documents_are_ranked_where_their_chunks_lie(spark, name):
+    dealt, stored = moves(all_queries()[name](spark, FOLDER))
+    assert len(dealt) == 1 and "l_orderkey" in dealt[0] and not stored
+
+
+def test_long_documents_have_the_contexts_of_short_ones(spark, monkeypatch):
+    from gaugework.operators import extraction as X
+    from gaugework.operators import retrieval as V
+    from gaugework.plans import jobs as J
+    from gaugework.queries import text as Q
+
+    chunks = Q.chunks(spark, FOLDER, None).filter("doc_id < 60").union(  # one without a page
+        Q.chunks(spark, FOLDER, None).filter("doc_id = 1").withColumn("doc_id", F.lit(-1).cast("long")).withColumn("page_number", F.lit(None).cast("int"))
+    ).localCheckpoint()
+    found = V.retrieve(chunks, long=None)
+    ways = {
+        "wider": (lambda: V.retrieve_wider(chunks).drop("chunk_type"), lambda: V.wider(chunks, found).drop("chunk_type")),
+        "contexts": (lambda: J.contexts(chunks), lambda: X.context_blocks(V.attach_text(found, chunks))),
+        "open": (lambda: J.open_contexts(chunks), lambda: J.second_pass(chunks, found, J.pattern_values(chunks, found))),
+    }
+    for most in (10**6, 36):
+        monkeypatch.setattr(V, "MOST_TOGETHER", most)
+        for name, (new, plain) in ways.items():
+            made, want = new(), plain()
+            assert rows(made.select(*want.columns)) == rows(want) != [], name
