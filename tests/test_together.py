@@ -98,7 +98,7 @@ def test_rounding_is_that_of_spark(spark):
     assert (rounded(np.array(xs)) / 1e6).tolist() == [r["r"] for r in want]
 
 
-@pytest.mark.parametrize("name", ["keyword_retrieval", "wider_chunks", "block_patterns", "context_packing", "second_pass"])
+@pytest.mark.parametrize("name", ["keyword_retrieval", "wider_chunks", "block_patterns", "context_packing", "second_pass", "retrieval_funnel", "adhoc_search", "adhoc_search_tables"])
 def test_documents_are_ranked_where_their_chunks_lie(spark, name):
     dealt, stored = moves(all_queries()[name](spark, FOLDER))
     assert len(dealt) == 1 and "l_orderkey" in dealt[0] and not stored
@@ -124,3 +124,37 @@ def test_long_documents_have_the_contexts_of_short_ones(spark, monkeypatch):
         for name, (new, plain) in ways.items():
             made, want = new(), plain()
             assert rows(made.select(*want.columns)) == rows(want) != [], name
+
+
+def test_long_documents_are_searched_and_counted_as_short_ones(spark, monkeypatch):
+    from gaugework.operators import retrieval as V
+    from gaugework.queries import text as Q
+    from gaugework.queries.retrieval import SEARCH_WORDS
+
+    chunks = Q.chunks(spark, FOLDER, None).filter("doc_id < 60").localCheckpoint()
+    ways = (lambda: V.search(chunks, SEARCH_WORDS), lambda: V.funnel(chunks).select(
+        "doc_id", "kpi", "candidates", "passed", "dropped", "scored", "final", "answerable", "lowest", "highest"
+    ))
+    for make in ways:
+        made = []
+        for most in (10**6, 24, 0):
+            monkeypatch.setattr(V, "MOST_TOGETHER", most)
+            made.append(rows(make()))
+        assert made[0] == made[1] == made[2] != []
+
+
+def test_cache_writes_move_no_texts_and_leave_nothing_aside(spark, tmp_path):
+    from gaugework.sources import store
+
+    schema = "doc_id long, content string"
+    rows_ = spark.createDataFrame([(i % 40, str(i)) for i in range(400)], schema).repartition(3)
+    root = f"file://{tmp_path}/cache"
+    for new in (rows_, rows_.filter("doc_id < 5")):
+        store.replace_in_cache(new, root, "v1", schema, buckets=2)
+    assert sorted(tuple(r) for r in store.read_cache(spark, root, "v1", schema).select("doc_id", "content").collect()) == sorted(map(tuple, rows_.collect()))
+    # a file for each task and bucket: rows were not brought together by bucket
+    store.replace_in_cache(rows_, f"{root}-2", "v1", schema, buckets=2)
+    assert len(store.read_cache(spark, f"{root}-2", "v1", schema).inputFiles()) == 6
+    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store.new_folder(spark, 'x')}").getParent()
+    files = aside.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert not files.exists(aside) or not [f for f in files.listStatus(aside) if "aside" in f.getPath().getName()]
