@@ -48,3 +48,24 @@ def test_letters_that_only_match_in_either_case_are_found(spark):
     columns = "doc_id long, kpi string, chunk_index long, position int, chunk_type string, content string"
     chunk = spark.createDataFrame([(1, "scope_1_emissions", 0, 1, "text", TEXTS[4])], columns)
     assert X.block_hits(chunk, METRICS[:1]).first()["hit"]["value"] == 33333.0
+
+
+def test_patterns_run_only_on_texts_that_they_may_match(spark):
+    """The test in front of the patterns rules out most texts, and none in which Spark finds a match."""
+    from pyspark.sql import functions as F
+
+    odd = ["Total water consumption\x0b5,000 KL", "total energy consumed\u00a0(A+B)\n5", "Total waste 1,23,456 kg", "Total value chain emissions\n", *TEXTS]
+    texts = odd + ["Plain prose about nothing at all"] * 5 + [f"Scope {i} emissions were {i},{i}00 tCO2e" for i in (1, 2, 3)]
+    chunks = spark.createDataFrame([(1, i, "text", t) for i, t in enumerate(texts)], "doc_id long, chunk_index long, chunk_type string, content string")
+    asked = chunks.withColumn("asked", F.array(*[F.struct(F.lit(m.name).alias("kpi"), F.lit(1).alias("position")) for m in METRICS]))
+    may = X._prefilter(METRICS)
+    marked = X._marked(asked, METRICS)
+    found = marked.select("*", *[T.found(F.col("content"), p, f).alias(f"_p{i}") for (p, f), i in may.at.items()]).collect()
+    ruled_out = 0
+    for r in found:
+        for i in may.at.values():
+            held = bool(r[may.columns[i // X.BITS]] >> i % X.BITS & 1)
+            assert held or not r[f"_p{i}"]
+            ruled_out += not held
+    assert ruled_out > len(texts) * len(may.at) // 2 and X._searched(asked, METRICS, X._stages).count() > 3
+    assert all(pattern for pattern, _, _ in may.tests)  # all can be read
